@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhall.llm import dac
+from tallyhall.llm import byte_bpe, dac, packing, simhash
 from tallyhall.llm.common import documents, tuned
 
 
@@ -14,5 +14,20 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_tokens(dac.write_tokens(documents(spark, sf_dir)))
 
 
-QUERIES = {"op10_token_store": op10_token_store}
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every document; digests of both."""
+    return byte_bpe.encode_decode(documents(spark, sf_dir))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents into sequences of 4096 tokens."""
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op7_byte_bpe, op9_packing, op10_token_store)}
 ORACLES: dict[str, str] = {}
