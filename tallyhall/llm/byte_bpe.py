@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhall.llm.common import texts_of, tuned
+from tallyhall.llm.symbols import byte_symbols
 from tallyhall.llm.tokens import default_path
 
 # The pre-token pattern of byte-level BPE files.
@@ -31,16 +32,6 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 CACHE_PIECES, CACHED_LENGTH = 300_000, 48
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in a vocabulary file."""
-    shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    names, spare = {b: chr(b) for b in shown}, 256
-    for b in range(256):
-        if b not in names:
-            names[b], spare = chr(spare), spare + 1
-    return [names[b] for b in range(256)]
-
-
 def merge_all(starts: list[list[int]], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[list[int]]:
     """Merge every sequence of symbols. ranks: (left, right) -> (rank, new symbol)."""
     sym: list[int] = []

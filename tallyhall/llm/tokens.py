@@ -11,10 +11,14 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
+from array import array
 from collections.abc import Iterable
 
+from tallyhall.llm.symbols import byte_symbols
+
 #: Entries of a worker's cache before it starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 #: Longer words are encoded each time.
 CACHED_LENGTH = 48
 #: str.split() also cuts at these, the tokenizer doesn't; special tokens start with "<|".
@@ -59,10 +63,10 @@ class WordEncoder:
         lowers = (spec.get("normalizer") or {}).get("normalizers") or []
         self.lowers = any(x.get("type") == "Lowercase" for x in lowers)
         self.cache: dict[str, bytes] = {}
+        shown = byte_symbols()
+        self.shown = {b: c for b, c in enumerate(shown) if c != chr(b)}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        from array import array
-
         out = []
         for e in self.tokenizer.encode_batch(texts, add_special_tokens=False):
             out.append(array("I", e.ids).tobytes())
@@ -76,6 +80,19 @@ class WordEncoder:
             stem = stem.lower()
         return stem, mark
 
+    def _stems(self, stems: list[str]) -> list[bytes]:
+        """Ids of stems. A lower-case, composed run of letters is one pre-token: only the model has work to do."""
+        out, rest, tokenize = [b""] * len(stems), [], self.tokenizer.model.tokenize
+        for i, s in enumerate(stems):
+            if self.lowers and s.isalpha() and max(s) < "ɐ" and unicodedata.is_normalized("NFC", s):
+                seen = s if s.isascii() else s.encode().decode("latin-1").translate(self.shown)
+                out[i] = array("I", [t.id for t in tokenize(seen)]).tobytes()
+            else:
+                rest.append(i)
+        for i, b in zip(rest, self._whole([stems[i] for i in rest]), strict=True):
+            out[i] = b
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._whole(texts)
@@ -105,7 +122,7 @@ class WordEncoder:
         parts = list(parts)
         for lo in range(0, len(parts), 20_000):
             some = parts[lo : lo + 20_000]
-            cache.update(zip(some, self._whole(some), strict=True))
+            cache.update(zip(some, self._stems(some), strict=True))
         self.long += [p for p in parts if len(p) > CACHED_LENGTH]
         cache[""] = b""
         for w, (stem, mark) in stems.items():
