@@ -41,8 +41,8 @@ _RULES = [
     Rule("duplicate_lines", "10 * n_dup_lines > 3 * n_lines", "10 * n_dup_lines > 3 * n_lines"),
     Rule("capitals", f"2 * (length(_text) - length(translate(_text, '{UPPER}', ''))) > word_chars", f"2 * (length(t) - length(translate(t, '{UPPER}', ''))) > word_chars"),
     Rule("digits", f"10 * (length(_text) - length(translate(_text, '{DIGITS}', ''))) > 3 * word_chars", f"10 * (length(t) - length(translate(t, '{DIGITS}', ''))) > 3 * word_chars"),
-    Rule("ellipsis_lines", "10 * size(filter(_lines, l -> l rlike '(\\\\.\\\\.\\\\.|…)[ \\\\t\\\\r]*$')) > 3 * n_lines", "10 * len(list_filter(lines, l -> regexp_matches(l, '(\\.\\.\\.|…)[ \\t\\r]*$'))) > 3 * n_lines"),
-    Rule("bullet_lines", "10 * size(filter(_lines, l -> l rlike '^[ \\\\t]*[-*•]')) > 9 * n_lines", "10 * len(list_filter(lines, l -> regexp_matches(l, '^[ \\t]*[-*•]'))) > 9 * n_lines"),
+    Rule("ellipsis_lines", "10 * size(filter(_lines, l -> l rlike '(\\\\.\\\\.\\\\.|…)[ \\\\t\\\\r]*$')) > 3 * n_lines", "10 * len(list_filter(lines, lambda l: regexp_matches(l, '(\\.\\.\\.|…)[ \\t\\r]*$'))) > 3 * n_lines"),
+    Rule("bullet_lines", "10 * size(filter(_lines, l -> l rlike '^[ \\\\t]*[-*•]')) > 9 * n_lines", "10 * len(list_filter(lines, lambda l: regexp_matches(l, '^[ \\t]*[-*•]'))) > 9 * n_lines"),
 ]
 
 
@@ -83,11 +83,14 @@ def counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     k = F.size("_at")
     steps = F.zip_with(F.slice("_at", F.lit(1), k - 1), F.slice("_at", F.lit(2), k - 1), lambda a, b: F.least(F.lit(3), b - a))
     covered = F.aggregate(steps, F.lit(3), lambda s, x: s + x)
-    return d.withColumn("n_repeat_words", F.coalesce(F.when(F.col("_at").isNotNull(), covered), F.lit(0)).cast("long")).drop("_words", "_hashes", "_sorted", "_at")
+    repeated = F.coalesce(F.when(F.col("_at").isNotNull(), covered), F.lit(0)).cast("long")
+    # A filter on these columns must not be pushed below them, where each would be computed anew
+    # for every reference: a row number, which base_failed() reads, holds it above.
+    return d.withColumns({"n_repeat_words": repeated, "_place": F.monotonically_increasing_id()}).drop("_words", "_hashes", "_sorted", "_at")
 
 
 def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")) | (F.col("_place") < 0)
 
 
 def order_by_gain(counted: DataFrame, asked: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
@@ -112,9 +115,6 @@ def verdict(ordered: list[Rule]) -> Column:
     return out.otherwise(F.lit(True))
 
 
-_OWN = ["_text", "_lines", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-
-
 def judge(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Counts, ``base_failed`` and ``kept`` for every row.
 
@@ -122,13 +122,12 @@ def judge(df: DataFrame, text_col: str = "text") -> DataFrame:
     the given order of rules. Columns of the input other than ``doc_id`` and
     the text are dropped, so none can clash. Repeated rows are judged alike.
     """
-    spark = tuned(df.sparkSession)
+    tuned(df.sparkSession)
     src = df.select(F.col("doc_id"), F.col(text_col).alias("text"))
     few = src.sample(min(1.0, 2.0 * SAMPLE_ROWS / max(1, src.count())), seed=11)
     ordered = order_by_gain(counts(few), rules())
-    spark.sparkContext.setJobDescription(None)
     counted = counts(src)
-    return counted.withColumns({"base_failed": base_failed(), "kept": verdict(ordered)}).drop("text", "_text", "_lines")
+    return counted.withColumns({"base_failed": base_failed(), "kept": verdict(ordered)}).drop("text", "_text", "_lines", "_place")
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -148,8 +147,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 _W = "[\\x20\\x09-\\x0D]+"
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '{_W}'), x -> x <> '') AS words,
-  list_filter(string_split(t, chr(10)), l -> regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+w AS (SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '{_W}'), lambda x: x <> '') AS words,
+  list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
 g AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
 p AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
 c AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS k FROM p) GROUP BY r),
