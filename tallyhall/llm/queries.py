@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhall.llm import byte_bpe, dac, packing, quality_rules, simhash
+from tallyhall.llm import byte_bpe, dac, packing, quality_rules, simhash, suffix_dedup
 from tallyhall.llm.common import documents, tuned
 
 
@@ -24,6 +24,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.query(spark, sf_dir)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to repeated 200-byte strings."""
+    return suffix_dedup.digest(documents(spark, sf_dir))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; digests of both."""
     return byte_bpe.encode_decode(documents(spark, sf_dir))
@@ -34,5 +39,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op7_byte_bpe, op9_packing, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op4_suffix_dedup, op7_byte_bpe, op9_packing, op10_token_store)}
 ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE}
