@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhall.llm import byte_bpe, dac, packing, quality_rules, simhash, suffix_dedup
+from tallyhall.llm import byte_bpe, dac, media_source, packing, quality_rules, simhash, suffix_dedup
 from tallyhall.llm.common import documents, tuned
 
 
@@ -34,10 +34,15 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(documents(spark, sf_dir))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store every document as an image in archives and describe what is read back."""
+    return media_source.media_features(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 4096 tokens."""
     return packing.pack_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op4_suffix_dedup, op7_byte_bpe, op9_packing, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op4_suffix_dedup, op7_byte_bpe, op8_media, op9_packing, op10_token_store)}
 ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE}
