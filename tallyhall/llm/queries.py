@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhall.llm import byte_bpe, dac, media_source, packing, quality_rules, simhash, suffix_dedup
+from tallyhall.llm import byte_bpe, dac, media_source, packing, quality_knn, quality_rules, simhash, suffix_dedup, toxicity
 from tallyhall.llm.common import documents, tuned
 
 
@@ -29,6 +29,20 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(documents(spark, sf_dir))
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_knn.classify(documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.classify(documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; digests of both."""
     return byte_bpe.encode_decode(documents(spark, sf_dir))
@@ -44,5 +58,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op4_suffix_dedup, op7_byte_bpe, op8_media, op9_packing, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op4_suffix_dedup, op5_quality_classifier, op6_toxicity, op7_byte_bpe, op8_media, op9_packing, op10_token_store)}
 ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE}
