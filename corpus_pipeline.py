@@ -1,12 +1,71 @@
-"""The corpus pipeline: ordered stages, each one operator over what the last one kept."""
+"""The corpus pipeline: ordered stages, each one operator over what the last one kept.
+
+Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but
+the last return the columns of documents. Between stages the rows are written
+as Parquet and read again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallyhall.llm import packing, quality_rules, secret_scan, simhash, suffix_dedup
 from tallyhall.llm.common import documents, stash
 
-STAGES: list = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that every quality rule keeps."""
+    return quality_rules.keep(docs.select(*COLUMNS))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class: that with the least doc_id.
+
+    Rows that share an id are one document. A row without an id is known by
+    its text.
+    """
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select(*COLUMNS, F.coalesce("doc_id", -1 - F.shiftrightunsigned(F.xxhash64(text), 1)).alias("_key"))
+    found = simhash.near_duplicates(own, id_col="_key")
+    first = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_key")).distinct()
+    return own.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the byte strings that start elsewhere too; documents of which nothing is left go.
+
+    A cut inside a character drops what is left of that character.
+    """
+    out = suffix_dedup.remove_repeats(docs.select(*COLUMNS))
+    left = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\\x{FFFD}", "")
+    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(left)
+    kept = out.filter((F.size("removed") == 0) | (F.octet_length("kept") > 0)).withColumn("text", text)
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with secrets replaced by a mark."""
+    out = secret_scan.redact(docs.select(*COLUMNS))
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents, placed in sequences of 4096 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("SimHash near-dedup", near_dedup_stage),
+    ("suffix-array dedup", repeats_stage),
+    ("secret scans", secrets_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: Tokenizing and the tie order of packing are beyond SQL: the stages are tested against brute force.
 ORACLE_SQL = None
 
 

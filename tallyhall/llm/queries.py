@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhall.llm import byte_bpe, dac, media_source, packing, quality_knn, quality_rules, simhash, suffix_dedup, toxicity
+from tallyhall.llm import byte_bpe, dac, media_source, packing, quality_knn, quality_rules, secret_scan, simhash, suffix_dedup, toxicity
 from tallyhall.llm.common import documents, tuned
 
 
@@ -24,6 +24,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.query(spark, sf_dir)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate secret of every document, with its verdict."""
+    return secret_scan.findings(documents(spark, sf_dir))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses to repeated 200-byte strings."""
     return suffix_dedup.digest(documents(spark, sf_dir))
@@ -58,5 +63,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op4_suffix_dedup, op5_quality_classifier, op6_toxicity, op7_byte_bpe, op8_media, op9_packing, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op3_secret_scan, op4_suffix_dedup, op5_quality_classifier, op6_toxicity, op7_byte_bpe, op8_media, op9_packing, op10_token_store)}
 ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE}
