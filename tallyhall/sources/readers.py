@@ -43,7 +43,11 @@ def mail_headers(messages: DataFrame, column: str = "message") -> DataFrame:
     return out.withColumn("body", body).filter((F.col("from") != "") & (F.col("date") != ""))
 
 
-@F.pandas_udf("from string, date string, subject string, message_id string, in_reply_to string, references string, body string")
+_MAIL = T.StructType([T.StructField(n, T.StringType()) for n in ("from", "date", "subject", "message_id", "in_reply_to", "references", "body")])
+_CHAT = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("timestamp", "nickname", "message")]))
+
+
+@F.pandas_udf(_MAIL)
 def parse_mail(messages: pd.Series) -> pd.DataFrame:
     """RFC 822 messages: decoded headers, ISO date, all text/plain parts."""
     from email import message_from_string, policy
@@ -108,7 +112,7 @@ class _Messages(HTMLParser):
             self.now["nickname" if self.nick else "message"] += data
 
 
-@F.pandas_udf("array<struct<timestamp:string,nickname:string,message:string>>")
+@F.pandas_udf(_CHAT)
 def chat_page(pages: pd.Series) -> pd.Series:
     """Messages of HTML chat pages."""
     out = []
