@@ -50,14 +50,15 @@ def rank_sums(counts: DataFrame, by: list[str], value: str = "x") -> DataFrame:
 def concentration(counts: DataFrame, by: list[str] | None = None, value: str = "x", digits: int = 6) -> DataFrame:
     """Gini, HHI, top-5/10/20 shares and level, overall or per group of ``by``."""
     by = by or []
-    n, s = F.col("contributors"), F.col("total")
-    gini = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (2 * F.col("_weighted") - (n + 1) * s) / (n * s)))
-    hhi = F.col("_squares") / (s * s)
-    shares = {t: F.col(f"_top{t}") / s for t in TOPS}
+    n, s = F.coalesce("contributors", F.lit(0)), F.coalesce("total", F.lit(0.0))
+    some = s > 0  # no positive value: every measure is 0
+    gini = F.when(some, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (2 * F.col("_weighted") - (n + 1) * s) / (n * s)))).otherwise(0.0)
+    hhi = F.when(some, F.col("_squares") / (s * s)).otherwise(0.0)
+    shares = {t: F.when(some, F.col(f"_top{t}") / s).otherwise(0.0) for t in TOPS}
     return rank_sums(counts, by, value).select(
         *by,
         n.cast("long").alias("contributors"),
-        s,
+        s.alias("total"),
         F.round(gini, digits).alias("gini"),
         F.round(hhi, digits).alias("hhi"),
         *[F.round(c, digits).alias(f"top{t}_share") for t, c in shares.items()],

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def flatten_mapping(df: DataFrame, mapping: str) -> DataFrame:
     """map<unified, map<platform, array<id>>> as ``id, unified, platform``; of repeated ids the last by name wins."""
-    flat = df.select(F.explode(mapping).alias("unified", "platforms")).select("unified", F.explode("platforms").alias("platform", "ids")).select("unified", "platform", F.lower(F.explode("ids")).alias("id"))
+    flat = df.select(F.explode(mapping).alias("unified", "platforms")).select("unified", F.explode("platforms").alias("platform", "ids")).select("unified", "platform", F.explode("ids").alias("id")).withColumn("id", F.lower("id"))
     return flat.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("unified"), F.desc("platform")))).filter("_r = 1").drop("_r")
 
 

@@ -19,7 +19,8 @@ from tallyhall.operators.concentration import concentration
 from tallyhall.plans.concentration_queries import _CONCENTRATION_SQL
 from tallyhall.plans.registry import query, table
 
-MERGED = F.col("o_orderstatus") == "F"
+def merged():
+    return F.col("o_orderstatus") == "F"
 
 
 def _orders(spark, d):
@@ -38,14 +39,14 @@ def _events(spark, d):
 round(count(*) FILTER (WHERE o_orderstatus = 'F') / CAST(count(*) AS DOUBLE), 6) AS rate FROM orders GROUP BY 1 HAVING count(*) >= 10""")
 def status_rate_by_year(spark, d):
     """Share of changes merged per year, years of at least ten (AGG6, FIL18, QRY11)."""
-    return R.rate_by(_orders(spark, d), [F.year("o_orderdate").alias("year")], MERGED, 10).withColumn("rate", r6(F.col("rate")))
+    return R.rate_by(_orders(spark, d), [F.year("o_orderdate").alias("year")], merged(), 10).withColumn("rate", r6(F.col("rate")))
 
 
 @query("quarterly_trends", """SELECT CAST(year(o_orderdate) AS VARCHAR) || '-Q' || CAST(quarter(o_orderdate) AS VARCHAR) AS quarter, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS hits,
 round(count(*) FILTER (WHERE o_orderstatus = 'F') / CAST(count(*) AS DOUBLE), 6) AS rate FROM orders GROUP BY 1 HAVING count(*) >= 5""")
 def quarterly_trends(spark, d):
     """The same per quarter, of at least five (DAT4, QRY12)."""
-    return R.rate_by(_orders(spark, d), [quarter_label(F.col("o_orderdate")).alias("quarter")], MERGED, 5).withColumn("rate", r6(F.col("rate")))
+    return R.rate_by(_orders(spark, d), [quarter_label(F.col("o_orderdate")).alias("quarter")], merged(), 5).withColumn("rate", r6(F.col("rate")))
 
 
 @query("count_by_period", "SELECT strftime(o_orderdate, '%Y-%m') AS period, count(*) AS n FROM orders GROUP BY 1")
@@ -157,7 +158,7 @@ def first_event_cohorts(spark, d):
     """Outcome of changes by the year their author started (WIN7-WIN9)."""
     o = _orders(spark, d)
     first = W.first_event(o, "o_custkey", "o_orderdate").select("o_custkey", F.year("o_orderdate").alias("cohort"))
-    return o.join(first, "o_custkey").groupBy("cohort").agg(F.count("*").alias("n"), F.count_if(MERGED).alias("merged"), F.round(F.avg("o_totalprice"), 4).alias("mean_size"))
+    return o.join(first, "o_custkey").groupBy("cohort").agg(F.count("*").alias("n"), F.count_if(merged()).alias("merged"), F.round(F.avg("o_totalprice"), 4).alias("mean_size"))
 
 
 @query("validity_interval_join", """WITH e AS (SELECT user_id, event_id, ts, CASE WHEN date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts), ts) / 3600000000.0 > 12 THEN 1 ELSE 0 END AS g FROM events WHERE event_type = 'purchase'),
@@ -189,7 +190,7 @@ FROM o WHERE ph IS NOT NULL GROUP BY GROUPING SETS ((ph), ())""")
 def phase_metrics(spark, d):
     """Metrics per phase and over all phases (AGG16, QRY46)."""
     o = _orders(spark, d).withColumn("ph", _phase()).filter("ph IS NOT NULL")
-    g = o.rollup("ph").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("authors"), r6(F.count_if(MERGED) / F.count("*")).alias("merge_rate"))
+    g = o.rollup("ph").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("authors"), r6(F.count_if(merged()) / F.count("*")).alias("merge_rate"))
     return g.select(F.coalesce("ph", F.lit("all")).alias("phase"), "n", "authors", "merge_rate")
 
 
@@ -383,7 +384,7 @@ def threshold_sweep(spark, d):
 SELECT o_orderpriority, n, k AS hits, round(greatest(0.0, p - 1.96 * sqrt(p * (1 - p) / n)) * 100, 6) AS low, round(least(1.0, p + 1.96 * sqrt(p * (1 - p) / n)) * 100, 6) AS high FROM p""")
 def wald_ci(spark, d):
     """Wald interval of the merge rate (STA7, STA9)."""
-    a = _orders(spark, d).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(MERGED).alias("hits"))
+    a = _orders(spark, d).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(merged()).alias("hits"))
     lo, hi = wald_interval(F.col("hits"), F.col("n"))
     return a.withColumns({"low": r6(lo), "high": r6(hi)})
 
@@ -412,7 +413,7 @@ def two_level_rates(spark, d):
 SELECT o_custkey, year, n, round(k / CAST(n AS DOUBLE), 6) AS rate FROM b WHERE c >= 2""")
 def behaviour_over_time(spark, d):
     """Authors active in at least two years (AGG19)."""
-    a = R.rate_by(_orders(spark, d), ["o_custkey", F.year("o_orderdate").alias("year")], MERGED, 2)
+    a = R.rate_by(_orders(spark, d), ["o_custkey", F.year("o_orderdate").alias("year")], merged(), 2)
     return a.withColumn("c", F.count("*").over(Window.partitionBy("o_custkey"))).filter("c >= 2").select("o_custkey", "year", "n", r6(F.col("rate")).alias("rate"))
 
 
@@ -445,7 +446,7 @@ def two_period_summary(spark, d):
     """Headline metrics of two periods (QRY1, QRY2): reviews are counted per change before the join."""
     per = _line(spark, d).groupBy("l_orderkey").agg(F.count("*").alias("r"))
     o = _orders(spark, d).withColumn("period", F.when(F.year("o_orderdate") < 1998, "historical").otherwise("recent")).join(per, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return o.groupBy("period").agg(F.count("*").alias("n"), r6(F.count_if(MERGED) / F.count("*")).alias("merge_rate"), F.countDistinct("o_custkey").alias("authors"), r6(F.avg(F.coalesce("r", F.lit(0)))).alias("mean_reviews"), r6(F.count_if(F.col("r").isNull()) / F.count("*")).alias("zero_review_rate"))
+    return o.groupBy("period").agg(F.count("*").alias("n"), r6(F.count_if(merged()) / F.count("*")).alias("merge_rate"), F.countDistinct("o_custkey").alias("authors"), r6(F.avg(F.coalesce("r", F.lit(0)))).alias("mean_reviews"), r6(F.count_if(F.col("r").isNull()) / F.count("*")).alias("zero_review_rate"))
 
 
 @query("self_review_breakdown", """WITH n AS (SELECT l_orderkey, count(*) AS k FROM lineitem GROUP BY 1) SELECT o_custkey % 10 = o_orderkey % 10 AS own, CASE WHEN coalesce(k, 0) = 0 THEN '0' WHEN k = 1 THEN '1' ELSE '2+' END AS reviews, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS share FROM orders LEFT JOIN n ON l_orderkey = o_orderkey GROUP BY 1, 2""")
