@@ -159,7 +159,9 @@ class MediaReader(DataSourceReader):
             listed = json.loads(f.read())
         return [_Range(name, lo, min(lo + self.step, size)) for name, size in listed for lo in range(0, size, self.step)]
 
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark asks once even if there is no range
+            return
         fs, root = open_fs(self.path)
         path = f"{root}/{partition.archive}"
         rows, held = [], 0
