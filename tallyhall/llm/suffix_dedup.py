@@ -247,7 +247,8 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, first: int = FIR
     repeats the other.
     """
     every = stash(docs.mapInArrow(_anchor_rows(threshold, first), _ANCHOR), "anchors")
-    shared = every.groupBy("rank").agg(F.count("*").alias("n"), (F.min("stretch") != F.max("stretch")).alias("several")).filter("n > 1").select("rank", "several")
+    # Counted apart: a join whose sides are both plain exchanges can split a very common rank.
+    shared = stash(every.groupBy("rank").agg(F.count("*").alias("n"), (F.min("stretch") != F.max("stretch")).alias("several")).filter("n > 1").select("rank", "several"), "ranks")
     some = stash(every.join(shared, "rank"), "anchors")
     discard(every)
     rep = F.min(F.struct("th", "did", "lo", "hi")).alias("rep")
@@ -256,7 +257,7 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, first: int = FIR
     whole = some.join(classes.filter("n > 1").select("rank", "stretch"), ["rank", "stretch"]).select("did", "th", "lo", end)
     # One anchor of each stretch whose rank has other stretches: its bytes, cut from the text.
     reps = classes.filter("several").select("rank", "stretch", "rep.*")
-    sizes = reps.groupBy("rank").agg(F.count("*").alias("n"))
+    sizes = stash(reps.groupBy("rank").agg(F.count("*").alias("n")), "ranks")
     by_doc = reps.groupBy("did", "th").agg(F.collect_list(F.struct("lo", "hi", "rank", "stretch")).alias("reps"))
     texts = docs.withColumnsRenamed({"did": "d", "th": "t"})
     at = F.col("d").eqNullSafe(F.col("did")) & (F.col("t") == F.col("th"))
@@ -264,7 +265,7 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, first: int = FIR
     cols = ["did", "th", "lo", "rank", "stretch", "data"]
     few = cut.filter(F.col("n") <= common).select(*cols).repartition("rank").sortWithinPartitions("rank").mapInArrow(_rank_stretches(threshold, first), _SPAN)
     windows = cut.filter(F.col("n") > common).select(*cols).mapInArrow(_window_rows(threshold, first), "did long, th long, stretch long, lo int, name long").distinct()
-    names = windows.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name")
+    names = stash(windows.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name"), "names")
     many = windows.join(names, "name").select("did", "th", "lo", (F.col("lo") + threshold).alias("hi"))
     refined = stash(few.unionByName(many), "spans")
     discard(cut)
