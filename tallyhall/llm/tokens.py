@@ -10,10 +10,8 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import unicodedata
 from array import array
-from collections.abc import Iterable
 
 from tallyhall.llm.symbols import byte_symbols
 
@@ -22,7 +20,7 @@ CACHE_WORDS = 500_000
 #: Longer words are encoded each time.
 CACHED_LENGTH = 48
 #: str.split() also cuts at these, the tokenizer doesn't; special tokens start with "<|".
-_ODD = re.compile("[\x1c-\x1f]|<\\|")
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
 
 def default_path(name: str) -> str:
@@ -76,7 +74,7 @@ class WordEncoder:
         """A word as a stem and one mark that are encoded alone: ids(word) = ids(stem) + ids(mark)."""
         mark = word[-1] if word[-1] in ".,|!" and word[:-1].isalpha() else ""
         stem = word[: len(word) - len(mark)]
-        if self.lowers and max(stem, default="a") < "ɐ":
+        if self.lowers and (stem.isascii() or max(stem) < "ɐ"):
             stem = stem.lower()
         return stem, mark
 
@@ -84,9 +82,12 @@ class WordEncoder:
         """Ids of stems. A lower-case, composed run of letters is one pre-token: only the model has work to do."""
         out, rest, tokenize = [b""] * len(stems), [], self.tokenizer.model.tokenize
         for i, s in enumerate(stems):
-            if self.lowers and s.isalpha() and max(s) < "ɐ" and unicodedata.is_normalized("NFC", s):
-                seen = s if s.isascii() else s.encode().decode("latin-1").translate(self.shown)
-                out[i] = array("I", [t.id for t in tokenize(seen)]).tobytes()
+            if not (self.lowers and s.isalpha()):
+                rest.append(i)
+            elif s.isascii():
+                out[i] = array("I", [t.id for t in tokenize(s)]).tobytes()
+            elif max(s) < "ɐ" and unicodedata.is_normalized("NFC", s):
+                out[i] = array("I", [t.id for t in tokenize(s.encode().decode("latin-1").translate(self.shown))]).tobytes()
             else:
                 rest.append(i)
         for i, b in zip(rest, self._whole([stems[i] for i in rest]), strict=True):
@@ -96,11 +97,11 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._whole(texts)
-        odd = [i for i, t in enumerate(texts) if _ODD.search(t)]
+        odd = [i for i, t in enumerate(texts) if any(x in t for x in _ODD)]
         split = [t.split() for t in texts]
         for i in odd:
             split[i] = []
-        self._learn(w for words in split for w in words)
+        self._learn(set().union(*split))
         get = self.cache.__getitem__
         out = [b"".join(map(get, words)) for words in split]
         if odd:
@@ -110,12 +111,11 @@ class WordEncoder:
             self.cache.pop(w, None)
         return out
 
-    def _learn(self, words: Iterable[str]) -> None:
-        wanted = set(words)
+    def _learn(self, wanted: set[str]) -> None:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         cache = self.cache
-        new = [w for w in wanted if w not in cache]
+        new = wanted.difference(cache)
         self.long = [w for w in new if len(w) > CACHED_LENGTH]
         stems = {w: self._stem(w) for w in new}
         parts = {p for s in stems.values() for p in s if p and p not in cache}
