@@ -14,12 +14,12 @@ from tallyhall.functions import text as X
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """One object per line; blank and malformed lines are dropped."""
+    """One object per line; blank and malformed lines are dropped (SRC1, SRC19-SRC20)."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
 def read_jsonl_counted(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows, malformed lines)."""
+    """(good rows, malformed lines) (SRC1, SRC24)."""
     raw = spark.read.text(path).filter(F.trim("value") != "")
     parsed = raw.select("value", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), F.try_parse_json("value").isNull().alias("bad"))
     return parsed.filter(~F.col("bad")).select("r.*"), parsed.filter("bad").select("value")
@@ -30,13 +30,13 @@ def read_json_document(spark: SparkSession, path: str, schema: str) -> DataFrame
 
 
 def read_mbox(spark: SparkSession, path: str) -> DataFrame:
-    """``source, seq, message`` of mail archives, plain or gzip, cut at lines that start with 'From '."""
+    """``source, seq, message`` of mail archives, plain or gzip, cut at lines that start with 'From ' (SRC12, SRC13)."""
     whole = spark.read.text(path, wholetext=True).withColumn("source", F.input_file_name())
     return whole.select("source", F.posexplode(F.split("value", r"\n(?=From )")).alias("seq", "message")).filter(F.trim("message") != "")
 
 
 def mail_headers(messages: DataFrame, column: str = "message") -> DataFrame:
-    """Headers by pattern and the body after the first blank line; rows without From or Date go."""
+    """Headers by pattern and the body after the first blank line; rows without From or Date go (SRC15)."""
     m = F.col(column)
     out = messages.withColumns({n: X.header(m, h) for n, h in (("from", "From"), ("date", "Date"), ("subject", "Subject"), ("message_id", "Message-ID"), ("in_reply_to", "In-Reply-To"), ("references", "References"))})
     body = F.when(F.instr(m, "\n\n") > 0, F.substring(m, F.instr(m, "\n\n") + 2, F.length(m))).otherwise("")
@@ -49,7 +49,7 @@ _CHAT = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("ti
 
 @F.pandas_udf(_MAIL)
 def parse_mail(messages: pd.Series) -> pd.DataFrame:
-    """RFC 822 messages: decoded headers, ISO date, all text/plain parts."""
+    """RFC 822 messages: decoded headers, ISO date, all text/plain parts (SRC14, SRC16)."""
     from email import message_from_string, policy
     from email.utils import parsedate_to_datetime
 
@@ -72,7 +72,7 @@ def parse_mail(messages: pd.Series) -> pd.DataFrame:
 
 
 def chat_line(line: Column, default_date: Column | None = None) -> Column:
-    """struct(timestamp, nickname, message, type) of a chat log line; null if no grammar fits."""
+    """struct(timestamp, nickname, message, type) of a chat log line; null if no grammar fits (SRC9)."""
     stamp, bare, clock, act = r"^\[(\d{4}-\d\d-\d\d[T ]\d\d:\d\d(?::\d\d)?)\]\s*<([^>]+)>\s?(.*)$", r"^(\d{4}-\d\d-\d\d[T ]\d\d:\d\d(?::\d\d)?)\s+<([^>]+)>\s?(.*)$", r"^\[(\d\d:\d\d(?::\d\d)?)\]\s*<([^>]+)>\s?(.*)$", r"^\*\s+(\S+)\s+(.*)$"
     day = F.lit(None).cast("string") if default_date is None else default_date
 
@@ -129,7 +129,7 @@ def is_html(content: Column) -> Column:
 
 
 def read_proposals(spark: SparkSession, path: str) -> DataFrame:
-    """Header fields of proposal files; the number comes from the file name."""
+    """Header fields of proposal files; the number comes from the file name (SRC17, STR14)."""
     f = spark.read.text(path, wholetext=True).withColumn("filename", F.element_at(F.split(F.input_file_name(), "/"), -1))
     c = F.col("value")
     fields = {n.lower(): X.header(c, n) for n in ("Title", "Author", "Status", "Type", "Created")}
@@ -137,31 +137,31 @@ def read_proposals(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_archive(spark: SparkSession, path: str, limit: int = 100_000) -> DataFrame:
-    """Archive texts: content up to a limit, digest, optional mail headers and the first ten addresses."""
+    """Archive texts: content up to a limit, digest, optional mail headers and the first ten addresses (SRC18)."""
     f = spark.read.format("binaryFile").load(path)
     text = F.substring(F.make_valid_utf8(F.col("content").cast("string")), 1, limit)
     return f.select("path", F.sha2("content", 256).alias("sha256"), text.alias("content")).withColumns({"from": X.header(F.col("content"), "From"), "subject": X.header(F.col("content"), "Subject"), "date": X.header(F.col("content"), "Date"), "sources": F.slice(F.regexp_extract_all("content", F.lit(r"(https?://[^\s)>\"']+)"), 1), 1, 10)})
 
 
 def signature(tag_text: Column) -> Column:
-    """struct(is_signed, key_id, signer) of a tag's text and verification output."""
+    """struct(is_signed, key_id, signer) of a tag's text and verification output (SRC22, SRC23)."""
     return F.struct(tag_text.contains("BEGIN PGP SIGNATURE").alias("is_signed"), F.regexp_extract(tag_text, r"(?i)key (?:ID )?([0-9A-F]{8,40})", 1).alias("key_id"), F.regexp_extract(tag_text, r'Good signature from "([^"]+)"', 1).alias("signer"))
 
 
 def commit_fields(message: Column, parents: Column) -> Column:
-    """struct(is_merge, merged_number) of a commit."""
+    """struct(is_merge, merged_number) of a commit (SRC21)."""
     merge = F.size(parents) > 1
     number = F.regexp_extract(message, r"#(\d+)", 1).try_cast("long")
     return F.struct(merge.alias("is_merge"), F.when(merge, number).alias("merged_number"))
 
 
 def maintainer_line(line: Column) -> Column:
-    """struct(name, email, user) of 'Name <mail> (user)'."""
+    """struct(name, email, user) of 'Name <mail> (user)' (SRC34, SRC35)."""
     return F.struct(F.trim(F.regexp_extract(line, r"^[\s*-]*([^<(]+)", 1)).alias("name"), F.regexp_extract(line, r"<([^>]+)>", 1).alias("email"), F.regexp_extract(line, r"\(@?([\w-]+)\)", 1).alias("user"))
 
 
 def fetch_parallel(keys: DataFrame, fetch, schema: str, workers: int = 5) -> DataFrame:
-    """Call ``fetch(key) -> row tuple`` for every key, spread over tasks."""
+    """Call ``fetch(key) -> row tuple`` for every key, spread over tasks (SRC31, SRC32)."""
     names = [f.name for f in T._parse_datatype_string(schema).fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,13 +176,13 @@ def write_records(df: DataFrame, path: str, mode: str = "overwrite", form: str =
 
 
 def append_new(df: DataFrame, path: str, key: str, form: str = "parquet") -> None:
-    """Append rows whose key isn't stored yet."""
+    """Append rows whose key isn't stored yet (SRC27)."""
     stored = df.sparkSession.read.format(form).load(path)
     df.join(stored.select(key).distinct(), key, "left_anti").write.mode("append").format(form).save(path)
 
 
 def write_report(tables: dict[str, DataFrame], path: str, name: str, parameters: dict[str, str], as_of: str) -> None:
-    """One JSON report; its tables are small results of aggregates, joined as JSON by Spark."""
+    """One JSON report; its tables are small results of aggregates, joined as JSON by Spark (SRC28, DQ14)."""
     spark = next(iter(tables.values())).sparkSession
     parts = [df.agg(F.lit(k).alias("k"), F.to_json(F.collect_list(F.struct(*df.columns))).alias("v")) for k, df in tables.items()]
     every = parts[0]
@@ -196,5 +196,5 @@ def write_report(tables: dict[str, DataFrame], path: str, name: str, parameters:
 
 
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes and edges as rows of JSON for a chart sink."""
+    """Nodes and edges as rows of JSON for a chart sink (SRC29, SRC30)."""
     return nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct(*nodes.columns)).alias("json")).unionByName(edges.select(F.lit("edge").alias("kind"), F.to_json(F.struct(*edges.columns)).alias("json")))
