@@ -14,8 +14,10 @@ import hashlib
 import heapq
 import json
 import re
-from array import array
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -29,57 +31,74 @@ from tallyhall.llm.tokens import default_path
 # The pre-token pattern of byte-level BPE files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of a worker's cache before it starts afresh, and the longest piece kept.
-CACHE_PIECES, CACHED_LENGTH = 300_000, 48
+CACHE_PIECES, CACHED_LENGTH = 400_000, 48
+_LED = re.compile(r" (?=[^\S ])")  # a space before other white space
 
 
-def merge_all(starts: list[list[int]], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[list[int]]:
-    """Merge every sequence of symbols. ranks: (left, right) -> (rank, new symbol)."""
+@dataclass
+class Merges:
+    """Merge rules: the rank of a pair (``left << 17 | right``), and each rank's sides and result."""
+
+    rank: dict[int, int]
+    left: list[int]
+    right: list[int]
+    made: list[int]
+
+
+WALL = (1 << 17) - 1  # stands between sequences; no rule has it
+
+
+def merge_all(starts: list[list[int]], rules: Merges) -> list[tuple[int, ...]]:
+    """Merge every sequence of symbols by one index from each pair's rank to its places."""
     sym: list[int] = []
     for s in starts:
         sym += s
-        sym.append(-1)  # a wall that no pair crosses
+        sym.append(WALL)
     n = len(sym)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    places: dict[tuple[int, int], list[int]] = {}
-    for i, pair in enumerate(zip(sym, sym[1:])):
-        if pair in ranks:
-            places.setdefault(pair, []).append(i)
-    active = [(ranks[p][0], p) for p in places]
+    rank, made = rules.rank.get, rules.made
+    places: defaultdict[int, list[int]] = defaultdict(list)
+    for i, r in enumerate(map(rank, [a << 17 | b for a, b in zip(sym, sym[1:])])):
+        if r is not None:
+            places[r].append(i)
+    active = list(places)
     heapq.heapify(active)
+    push = heapq.heappush
     while active:
-        _, pair = heapq.heappop(active)
-        a, b = pair
-        new = ranks[pair][1]
-        at = places.pop(pair)
-        at.sort()
+        r = heapq.heappop(active)
+        a, b, new = rules.left[r], rules.right[r], made[r]
+        at = places.pop(r)
+        if len(at) > 1:
+            at.sort()
+        high = new << 17
         for i in at:
             if sym[i] != a:
                 continue
             j = after[i]
             if sym[j] != b:
                 continue
-            sym[i], sym[j] = new, -2
+            sym[i], sym[j] = new, -1
             after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-            h = before[i]
-            if h >= 0 and (q := (sym[h], new)) in ranks:
+            before[k] = i  # a wall ends every sequence, so there is a next place
+            q = rank(high | sym[k])
+            if q is not None:
                 if q not in places:
-                    places[q] = []
-                    heapq.heappush(active, (ranks[q][0], q))
-                places[q].append(h)
-            if k < n and (q := (new, sym[k])) in ranks:
-                if q not in places:
-                    places[q] = []
-                    heapq.heappush(active, (ranks[q][0], q))
+                    push(active, q)
                 places[q].append(i)
+            h = before[i]
+            if h >= 0:
+                q = rank(sym[h] << 17 | new)
+                if q is not None:
+                    if q not in places:
+                        push(active, q)
+                    places[q].append(h)
     out, one = [], []
-    for s in sym:
-        if s == -1:
-            out.append(one)
+    for x in sym:
+        if x == WALL:
+            out.append(tuple(one))
             one = []
-        elif s >= 0:
-            one.append(s)
+        elif x >= 0:
+            one.append(x)
     return out
 
 
@@ -102,10 +121,9 @@ class ByteBPE:
         vocab: dict[str, int] = spec["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.start = [vocab[c] for c in names]
-        self.ranks = {}
-        for r, m in enumerate(spec["model"]["merges"]):
-            a, b = m if isinstance(m, list) else m.split(" ")
-            self.ranks[vocab[a], vocab[b]] = (r, vocab[a + b])
+        rules = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        left, right = [vocab[a] for a, _ in rules], [vocab[b] for _, b in rules]
+        self.rules = Merges({a << 17 | b: r for r, (a, b) in enumerate(zip(left, right, strict=True))}, left, right, [vocab[a + b] for a, b in rules])
         self.bytes = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for t, i in vocab.items():
             if t not in self.special:
@@ -115,31 +133,30 @@ class ByteBPE:
         self.decimal = [str(i) for i in range(len(self.bytes))]
         self.words = regex.compile(PATTERN)
         self.marks = re.compile("|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) or "(?!)")
-        self.cache: dict[str, array] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}
 
     def _pieces(self, text: str) -> list[str]:
         """Cut before every space that a non-space follows: pre-tokens never cross such a place."""
         pieces = text.split(" ")
-        if "" in pieces or (len(pieces) > 1 and any(p[0].isspace() for p in pieces[1:])):
+        if "" in pieces or _LED.search(text):
             return regex.split(r"(?= \S)", text, flags=regex.V1)
         return [pieces[0], *[" " + p for p in pieces[1:]]]
 
-    def _learn(self, pieces: Iterable[str]) -> None:
-        """Encode the pieces that aren't known, all their pre-tokens in one index."""
-        wanted = set(pieces)
+    def _learn(self, wanted: set[str]) -> None:
+        """Encode the pieces that aren't known, all their unknown pre-tokens in one index."""
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
-        cuts = {p: self.words.findall(p) for p in wanted if p not in self.cache}
-        tokens = list({t for c in cuts.values() for t in c})
-        done: dict[str, list[int]] = {}
-        for lo in range(0, len(tokens), 50_000):
-            some = tokens[lo : lo + 50_000]
-            done.update(zip(some, merge_all([[self.start[b] for b in t.encode()] for t in some], self.ranks), strict=True))
+        cache, find = self.cache, self.words.findall
+        cuts = {p: find(p) for p in wanted.difference(cache)}
+        tokens = list({t for c in cuts.values() for t in c}.difference(cache))
+        start = self.start.__getitem__
+        for lo in range(0, len(tokens), 20_000):
+            some = tokens[lo : lo + 20_000]
+            cache.update(zip(some, merge_all([list(map(start, t.encode())) for t in some], self.rules), strict=True))
         for p, c in cuts.items():
-            ids = array("H" if len(self.bytes) <= 1 << 16 else "I")
-            for t in c:
-                ids.extend(done[t])
-            self.cache[p] = ids
+            if len(c) != 1:
+                cache[p] = tuple(chain.from_iterable(map(cache.__getitem__, c)))
+        self.long = [p for p in [*cuts, *tokens] if len(p) > CACHED_LENGTH]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text, special tokens in it included."""
@@ -151,18 +168,17 @@ class ByteBPE:
                 at = m.end()
             own.append(self._pieces(t[at:]) if at < len(t) else [])
             parts.append(own)
-        self._learn(p for own in parts for x in own if isinstance(x, list) for p in x)
+        self._learn(set().union(*(x for own in parts for x in own if isinstance(x, list))))
         get, out = self.cache.__getitem__, []
         for own in parts:
             ids: list[int] = []
             for x in own:
                 if isinstance(x, list):
-                    for a in map(get, x):
-                        ids += a
+                    ids += chain.from_iterable(map(get, x))
                 else:
                     ids.append(x)
             out.append(ids)
-        for p in [p for own in parts for x in own if isinstance(x, list) for p in x if len(p) > CACHED_LENGTH]:
+        for p in self.long:
             self.cache.pop(p, None)
         return out
 
