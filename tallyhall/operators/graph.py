@@ -51,6 +51,7 @@ def pagerank(e: DataFrame, iterations: int = 20, damping: float = 0.85, weighted
 
 def eigenvector(e: DataFrame, iterations: int = 50) -> DataFrame:
     """Power iteration on incoming edges, of unit length."""
+    e = cut_lineage(e)
     nodes = cut_lineage(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
     x = nodes.withColumn("value", F.lit(1.0))
     for _ in range(iterations):
@@ -61,58 +62,69 @@ def eigenvector(e: DataFrame, iterations: int = 50) -> DataFrame:
     return x
 
 
-def path_centralities(e: DataFrame, sources: DataFrame | None = None, edge_limit: int = 200_000) -> DataFrame:
+def path_centralities(e: DataFrame, sources: DataFrame | None = None, edge_limit: int = 200_000, weighted: bool = True) -> DataFrame:
     """``node, betweenness, closeness`` by one shortest-path tree per source (Brandes).
 
+    An edge is as long as its weight, which must be positive, or 1 if not ``weighted``.
     The graph must have at most ``edge_limit`` edges: its size is checked before
     it is broadcast, and a larger one is refused, since exact path counts need
     the whole graph. Sources are spread over the tasks.
     """
-    rows = e.select("src", "dst").limit(edge_limit + 1).collect()
+    e = cut_lineage(e)
+    w = F.col("weight") if weighted else F.lit(1)
+    rows = e.select("src", "dst", w.alias("w")).limit(edge_limit + 1).collect()
     if len(rows) > edge_limit:
         raise ValueError(f"path centralities are exact up to {edge_limit} edges")
     spark = e.sparkSession
-    shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in rows])
+    shared = spark.sparkContext.broadcast([(r[0], r[1], r[2]) for r in rows])
     kind = e.schema["src"].dataType.simpleString()
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     starts = nodes if sources is None else sources
 
     def run(batches: Iterator) -> Iterator:
+        from heapq import heappop, heappush
+
         import pandas as pd
 
         to, back, names = {}, {}, {}
-        for a, b in shared.value:
-            to.setdefault(a, []).append(b)
-            back.setdefault(b, []).append(a)
+        for a, b, w in shared.value:
+            to.setdefault(a, []).append((b, w))
+            back.setdefault(b, []).append((a, w))
             names[a] = names[b] = None
         n = len(names)
+
+        def tree(s, links: dict) -> tuple[dict, dict, dict]:
+            """Distances in order of length, numbers of shortest paths, nodes before each node."""
+            done, seen, paths, before, heap, k = {}, {s: 0}, {s: 1.0}, {}, [(0, 0, s)], 0
+            while heap:
+                at, _, v = heappop(heap)
+                if v in done:
+                    continue
+                done[v] = at
+                for u, w in links.get(v, ()):
+                    if u in done:
+                        continue
+                    if u not in seen or at + w < seen[u]:
+                        seen[u], paths[u], before[u] = at + w, paths[v], [v]
+                        k += 1
+                        heappush(heap, (at + w, k, u))
+                    elif at + w == seen[u]:
+                        paths[u] += paths[v]
+                        before[u].append(v)
+            return done, paths, before
+
         for frame in batches:
             part: dict = {}
             close = []
             for s in frame["node"]:
-                dist, paths, order, before = {s: 0}, {s: 1.0}, [], {}
-                queue = [s]
-                for v in queue:
-                    order.append(v)
-                    for u in to.get(v, ()):
-                        if u not in dist:
-                            dist[u] = dist[v] + 1
-                            queue.append(u)
-                        if dist[u] == dist[v] + 1:
-                            paths[u] = paths.get(u, 0.0) + paths[v]
-                            before.setdefault(u, []).append(v)
+                order, paths, before = tree(s, to)
                 gain = dict.fromkeys(order, 0.0)
                 for v in reversed(order):
                     for u in before.get(v, ()):
                         gain[u] += paths[u] / paths[v] * (1 + gain[v])
                     if v != s:
                         part[v] = part.get(v, 0.0) + gain[v]
-                d, queue = {s: 0}, [s]  # closeness looks at paths that end here
-                for v in queue:
-                    for u in back.get(v, ()):
-                        if u not in d:
-                            d[u] = d[v] + 1
-                            queue.append(u)
+                d = tree(s, back)[0]  # closeness looks at paths that end here
                 total = sum(d.values())
                 close.append((s, 0.0, (len(d) - 1) / total * (len(d) - 1) / (n - 1) if total and n > 1 else 0.0))
             scale = (n - 1) * (n - 2) or 1

@@ -75,40 +75,55 @@ def _sparse_edges(spark, d):
     return G.edges(few.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey")), F.col("src"), F.col("dst"))
 
 
-@query("clustering", f"""WITH {_SPARSE}, u AS (SELECT DISTINCT least(src, dst) a, greatest(src, dst) b FROM e), v AS (SELECT a, b FROM u UNION ALL SELECT b, a FROM u), d AS (SELECT a AS node, count(*) AS degree FROM v GROUP BY 1),
+_CLUSTERING = """u AS (SELECT DISTINCT least(src, dst) a, greatest(src, dst) b FROM e), v AS (SELECT a, b FROM u UNION ALL SELECT b, a FROM u), d AS (SELECT a AS node, count(*) AS degree FROM v GROUP BY 1),
 t AS (SELECT x.a AS node, count(*) AS n FROM v x JOIN v y ON x.a = y.a AND x.b < y.b JOIN u ON u.a = x.b AND u.b = y.b GROUP BY 1)
-SELECT node, degree, CAST(coalesce(n, 0) AS BIGINT) AS triangles, round(CASE WHEN degree > 1 THEN 2.0 * coalesce(n, 0) / (degree * (degree - 1)) ELSE 0 END, 6) AS clustering FROM d LEFT JOIN t USING (node)""")
+SELECT node, degree, CAST(coalesce(n, 0) AS BIGINT) AS triangles, round(CASE WHEN degree > 1 THEN 2.0 * coalesce(n, 0) / (degree * (degree - 1)) ELSE 0 END, 6) AS clustering FROM d LEFT JOIN t USING (node)"""
+
+
+@query("clustering", f"WITH {_SPARSE}, {_CLUSTERING}")
 def clustering(spark, d):
-    """Local clustering coefficients (GRA10)."""
+    """Local clustering coefficients of the thinned graph, as its SQL has it (GRA10)."""
     return G.clustering(_sparse_edges(spark, d)).withColumn("clustering", r6(F.col("clustering")))
 
 
+@query("clustering_all_reviews", f"WITH {_EDGES}, {_CLUSTERING}")
+def clustering_all_reviews(spark, d):
+    """Local clustering coefficients of the whole review graph (GRA10)."""
+    return G.clustering(_nation_edges(spark, d)).withColumn("clustering", r6(F.col("clustering")))
+
+
 _RANK_STEPS = 10
 
 
-def _pagerank_sql() -> str:
-    parts = [f"WITH {_SPARSE}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), c AS (SELECT count(*) AS n FROM n), o AS (SELECT src, sum(weight) AS t FROM e GROUP BY 1), r0 AS MATERIALIZED (SELECT node, 1.0 / n AS rank FROM n, c)"]
+def _pagerank_sql(edges: str) -> str:
+    parts = [f"WITH {edges}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), c AS (SELECT count(*) AS n FROM n), o AS (SELECT src, sum(weight) AS t FROM e GROUP BY 1), r0 AS MATERIALIZED (SELECT node, 1.0 / n AS rank FROM n, c)"]
     for k in range(1, _RANK_STEPS + 1):
         parts.append(f"r{k} AS MATERIALIZED (SELECT n.node, 0.15 / c.n + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{k - 1} WHERE node NOT IN (SELECT src FROM o)) / c.n + 0.85 * coalesce((SELECT sum(r.rank * CAST(e.weight AS DOUBLE) / o.t) FROM e JOIN r{k - 1} r ON r.node = e.src JOIN o ON o.src = e.src WHERE e.dst = n.node), 0) AS rank FROM n, c)")
     return ", ".join(parts) + f" SELECT node, round(CAST(rank AS DOUBLE), 6) AS rank FROM r{_RANK_STEPS}"
 
 
-@query("pagerank", _pagerank_sql())
+@query("pagerank", _pagerank_sql(_SPARSE))
 def pagerank(spark, d):
-    """Weighted PageRank, ten steps (GRA4, GRA6)."""
+    """Weighted PageRank of the thinned graph, ten steps, as its SQL has it (GRA4, GRA6)."""
     return G.pagerank(_sparse_edges(spark, d), _RANK_STEPS).withColumn("rank", r6(F.col("rank")))
 
 
+@query("pagerank_all_reviews", _pagerank_sql(_EDGES))
+def pagerank_all_reviews(spark, d):
+    """Weighted PageRank of the whole review graph, ten steps (GRA4, GRA6)."""
+    return G.pagerank(_nation_edges(spark, d), _RANK_STEPS).withColumn("rank", r6(F.col("rank")))
+
+
 @query("path_centralities")
 def path_centralities(spark, d):
-    """Betweenness and closeness of the sparse review graph (GRA4)."""
-    return G.path_centralities(_sparse_edges(spark, d)).withColumns({c: r6(F.col(c)) for c in ("betweenness", "closeness")})
+    """Betweenness and closeness of the review graph over weighted paths (GRA4)."""
+    return G.path_centralities(_nation_edges(spark, d)).withColumns({c: r6(F.col(c)) for c in ("betweenness", "closeness")})
 
 
 @query("eigenvector")
 def eigenvector(spark, d):
-    """Eigenvector centrality of the sparse review graph (GRA4)."""
-    return G.eigenvector(_sparse_edges(spark, d), 15).withColumn("value", r6(F.col("value")))
+    """Eigenvector centrality of the review graph (GRA4)."""
+    return G.eigenvector(_nation_edges(spark, d), 15).withColumn("value", r6(F.col("value")))
 
 
 @query("thread_reply_graph", """WITH t AS (SELECT conv_id, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) SELECT role AS src, prev AS dst, count(*) AS weight FROM t WHERE prev IS NOT NULL GROUP BY 1, 2""")
