@@ -38,16 +38,19 @@ ALPHABET = len(_LETTERS) + 1  # 0: not a letter, a word's edge
 # What a written character may stand for besides itself.
 READINGS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou"}
 # Channel costs (natural log): a replaced letter, a dropped repeat, a word edge
-# between spaced letters, a mark left as it is, a double letter read as one.
-REPLACED, REPEATED, EDGE, UNREAD, DOUBLE = 0.7, 0.3, 2.5, 6.0, 8.0
+# between spaced letters, a mark left as it is, a double letter read as one, a
+# mark at a word's end that is only punctuation.
+REPLACED, REPEATED, EDGE, UNREAD, DOUBLE, TRIMMED = 0.7, 0.3, 2.5, 6.0, 8.0, 4.0
+#: Edges that can't be letters.
+_PLAIN = "".join(c for c in _EDGES if c not in READINGS)
 
 _CODE = np.zeros(0x180, np.int64)
 for _k, _c in enumerate(_LETTERS):
     _CODE[ord(_c)] = _k + 1
-_INSIDE = re.compile(r"[^\W\d_][0-9@$!|+(€£*]+[^\W\d_]")
-_START = re.compile(r"^[0-9@$!|+(€£*]{1,2}[^\W\d_]{2}")
+_MARKED = re.compile(r"[@$!|+(€£*]|[0-9].*[^\W\d_]|[^\W\d_].*[0-9]", re.S)
+_PAIR = re.compile(r"([0-9@$!|+(€£*])\1(?!\1)")
 _RUN = re.compile(r"([^\W\d_])\1\1")
-_JOINED = re.compile(r"^(?:\w[.\-_*~]){2,}\w$")
+_JOINED = re.compile(r"^(?:[\w@$!|+(€£][.\-_*~]){2,}[\w@$!|+(€£]$")
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -94,9 +97,14 @@ class Decoder:
     def __init__(self, model: np.ndarray) -> None:
         self.model = model.tolist()
 
-    def decode(self, token: str, spaced: bool = False) -> str:
-        """The likeliest reading; with ``spaced`` word edges may be put between letters."""
+    def decode(self, token: str, spaced: bool = False, pairs: bool = False) -> str:
+        """The likeliest reading; with ``spaced`` word edges may be put between letters.
+
+        Marks at the ends may be letters or punctuation, which is left out.
+        With ``pairs`` a mark that is written twice stands for two letters.
+        """
         m = self.model
+        first, last = len(token) - len(token.lstrip(_EDGES)), len(token.rstrip(_EDGES))
         # state: (last but one, last) -> (score, text)
         states = {(0, 0): (0.0, "")}
         k = 0
@@ -112,11 +120,14 @@ class Decoder:
                 if run > 1:
                     options.append((c + c, REPEATED * (run - 2)))
             for r in READINGS.get(c, ""):
-                options.append((r, REPLACED + (run > 1) * REPEATED))
+                if run != 2 or not pairs:
+                    options.append((r, REPLACED + (run > 1) * REPEATED))
                 if run > 1:
                     options.append((r + r, 2 * REPLACED))
             if not own:
                 options.append((c * run, UNREAD))
+                if not spaced and (k < first or k >= last) and not (pairs and run == 2 and c in READINGS):
+                    options.append(("", TRIMMED))
             nxt: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, text) in states.items():
                 for out, cost in options:
@@ -138,7 +149,7 @@ class Decoder:
 
 
 def suspicious(token: str) -> bool:
-    return bool(_INSIDE.search(token) or _START.search(token) or _RUN.search(token) or _JOINED.match(token))
+    return bool(_MARKED.search(token) or _RUN.search(token) or _JOINED.match(token))
 
 
 def restore_token(token: str, decoder: Decoder) -> str:
@@ -147,7 +158,16 @@ def restore_token(token: str, decoder: Decoder) -> str:
         return token
     if _JOINED.match(token):
         return decoder.decode(re.sub(r"[.\-_*~]", "", token), spaced=True)
-    return decoder.decode(token)
+    read = decoder.decode(token)
+    if _PAIR.search(token):
+        read = " ".join(dict.fromkeys([read, decoder.decode(token, pairs=True)]))
+    return read
+
+
+def readings(written: str, decoder: Decoder) -> str:
+    """A written word as read without the marks at its ends, and with those that may be letters if that differs."""
+    forms = dict.fromkeys(written.strip(e) or written for e in (_EDGES, _PLAIN))
+    return " ".join(dict.fromkeys(restore_token(w, decoder) for w in forms))
 
 
 def spaced_runs(words: list[str]) -> list[tuple[int, int]]:
@@ -165,13 +185,14 @@ def spaced_runs(words: list[str]) -> list[tuple[int, int]]:
 
 def restore(text: str, decoder: Decoder) -> str:
     """A whole text, lower-cased, with its hidden words restored."""
-    words = [w.strip(_EDGES) or w for w in text.lower().split()]
+    written = text.lower().split()
+    words = [w.strip(_EDGES) or w for w in written]
     out, at = [], 0
     for lo, hi in spaced_runs(words):
-        out += [restore_token(w, decoder) for w in words[at:lo]]
+        out += [readings(w, decoder) for w in written[at:lo]]
         out.append(decoder.decode("".join(words[lo:hi]), spaced=True))
         at = hi
-    return " ".join([*out, *(restore_token(w, decoder) for w in words[at:])])
+    return " ".join([*out, *(readings(w, decoder) for w in written[at:])])
 
 
 def features(word: str) -> list[int]:
@@ -251,7 +272,7 @@ class Scorer:
         self.cache: dict[str, float] = {}
 
     def weight(self, written: str) -> float:
-        read = restore_token(written.strip(_EDGES) or written, self.decoder)
+        read = readings(written, self.decoder)
         return max((float(self.model.weights[f]) for w in read.split() for f in features(w)), default=0.0)
 
     def score(self, text: str) -> float:
