@@ -170,14 +170,19 @@ def readings(written: str, decoder: Decoder) -> str:
     return " ".join(dict.fromkeys(restore_token(w, decoder) for w in forms))
 
 
+def bare(written: str) -> str:
+    """A word without the marks at its ends; of marks alone, those that may be letters."""
+    return written.strip(_EDGES) or written.strip(_PLAIN) or written
+
+
 def spaced_runs(words: list[str]) -> list[tuple[int, int]]:
-    """(lo, hi) of runs of four or more one-character words that aren't all alike."""
+    """(lo, hi) of runs of three or more one-character words that aren't all alike."""
     out, lo = [], None
     for k, w in enumerate([*words, ""]):
         if len(w) == 1 and not w.isspace():
             lo = k if lo is None else lo
         else:
-            if lo is not None and k - lo >= 4 and len(set(words[lo:k])) > 1:
+            if lo is not None and k - lo >= 3 and len(set(words[lo:k])) > 1:
                 out.append((lo, k))
             lo = None
     return out
@@ -186,7 +191,7 @@ def spaced_runs(words: list[str]) -> list[tuple[int, int]]:
 def restore(text: str, decoder: Decoder) -> str:
     """A whole text, lower-cased, with its hidden words restored."""
     written = text.lower().split()
-    words = [w.strip(_EDGES) or w for w in written]
+    words = [bare(w) for w in written]
     out, at = [], 0
     for lo, hi in spaced_runs(words):
         out += [readings(w, decoder) for w in written[at:lo]]
@@ -270,6 +275,7 @@ class Scorer:
     def __init__(self, model: Model, lm: np.ndarray) -> None:
         self.model, self.decoder = model, Decoder(lm)
         self.cache: dict[str, float] = {}
+        self.single: dict[str, str] = {}  # of the written words in the cache, those of one character
 
     def weight(self, written: str) -> float:
         read = readings(written, self.decoder)
@@ -280,14 +286,18 @@ class Scorer:
         own, cache = set(words), self.cache
         if len(cache) > 300_000:
             cache.clear()
+            self.single.clear()
         for w in own:
             if w not in cache:
                 cache[w] = self.weight(w)
+                if len(c := bare(w)) == 1:
+                    self.single[w] = c
         found = [v for v in map(cache.__getitem__, own) if v > 0]
-        if sum(map(len, words)) < 8 * len(words) and sum(len(w) == 1 for w in words) >= 4:
-            bare = [w.strip(_EDGES) or w for w in words]
-            for lo, hi in spaced_runs(bare):
-                read = self.decoder.decode("".join(bare[lo:hi]), spaced=True)
+        single = self.single
+        if sum(w in single for w in words) >= 3:
+            chars = [single.get(w, "") for w in words]
+            for lo, hi in spaced_runs(chars):
+                read = self.decoder.decode("".join(chars[lo:hi]), spaced=True)
                 found += [float(self.model.weights[f]) for w in read.split() for f in features(w)]
         return self.model.score(max(found, default=0.0), sum(v > STRONG for v in found))
 

@@ -34,3 +34,16 @@ def test_marks_at_the_ends_are_read(chars, written, word):
 @pytest.mark.parametrize("written", ["dog!", "(see", "1995", "3.14", "the"])
 def test_plain_words_stay(chars, written):
     assert written.strip("!(") in toxicity.readings(written, toxicity.Decoder(chars)).split()
+
+
+@pytest.mark.parametrize(
+    "written,word",
+    [("x" * 600 + " you s t u p i d man", "stupid"), ('they are "s c u m"', "scum"), ("such s c u m. go away", "scum"), ("just d i e now", "die"), ('"$ t u p i d"', "stupid")],
+)
+def test_spaced_words_are_read(chars, written, word):
+    d = toxicity.Decoder(chars)
+    assert word in toxicity.restore(written, d).split()
+    weights = np.zeros(toxicity.SPACE, np.float32)
+    weights[toxicity.features(word)[0]] = 5.0
+    scorer = toxicity.Scorer(toxicity.Model(weights, (-2.0, 1.0, 0.0)), chars)
+    assert scorer.score(written) > scorer.score("they are there")
