@@ -112,6 +112,14 @@ def text_importance(spark, d):
     return _t(spark, d, "documents").groupBy(i.alias("importance")).agg(F.count("*").alias("n"))
 
 
+@query("text_importance_whole", f"SELECT {_IMPORTANCE} AS importance, count(*) AS n FROM (SELECT lower(text) || ' ' AS t, n_chars // 20 AS n FROM documents) GROUP BY 1")
+def text_importance_whole(spark, d):
+    """Importance by words and size, of whole documents (CLS1, CLS2, CLS36, QRY4)."""
+    none = F.array().cast("array<string>")
+    i = C.importance(F.col("text"), F.lit(""), none, F.floor(F.col("n_chars") / 20), none)
+    return _t(spark, d, "documents").groupBy(i.alias("importance")).agg(F.count("*").alias("n"))
+
+
 _TYPES = "CASE WHEN " + _sql_any("t", K.CONSENSUS_RELATED) + " THEN 'consensus' " + " ".join(f"WHEN {_sql_any('t', ks)} THEN '{n}'" for n, (ks, _, _) in K.CHANGE_TYPES.items()) + " ELSE 'unknown' END"
 
 
@@ -143,6 +151,13 @@ def rubber_stamps(spark, d):
     return _t(spark, d, "conversations").groupBy("role").agg(F.count_if(s).alias("stamps"))
 
 
+@query("rubber_stamps_whole", f"WITH c AS (SELECT role, lower(trim(coalesce(text, ''))) AS t FROM conversations) SELECT role, count(*) FILTER (WHERE length(t) < 10 OR ({_sql_any('t', ['lgtm', 'looks good', 'ack', 'approved', '+1'])} AND length(t) < 50)) AS stamps FROM c GROUP BY 1")
+def rubber_stamps_whole(spark, d):
+    """Approvals without substance, by whole messages (CLS18)."""
+    s = C.is_rubber_stamp(F.lit("APPROVED"), F.col("text"))
+    return _t(spark, d, "conversations").groupBy("role").agg(F.count_if(s).alias("stamps"))
+
+
 @query("contribution_quality", f"WITH {_PER}, q AS (SELECT author, least(1.0, CASE WHEN state = 'F' THEN 0.3 ELSE 0 END + CASE WHEN size / 1000 > 10 THEN 0.2 ELSE 0 END + CASE WHEN size / 1000 > 100 THEN 0.1 ELSE 0 END + CASE WHEN n > 0 THEN 0.1 ELSE 0 END + CASE WHEN u > 1 THEN 0.05 ELSE 0 END + CASE WHEN c > 0 THEN 0.05 ELSE 0 END) AS q FROM p) SELECT author, count(*) AS n, round(CAST(avg(q) AS DOUBLE), 9) AS quality FROM q GROUP BY 1 HAVING count(*) >= 5 AND avg(q) >= 0.3")
 def contribution_quality(spark, d):
     """Authors with enough changes of enough quality (CLS30, QRY43, QRY45)."""

@@ -68,3 +68,14 @@ def test_eigenvector_reads_all_reviews(spark, review_edges):
 @pytest.mark.parametrize("name", ["pagerank_all_reviews", "clustering_all_reviews"])
 def test_whole_graph_is_read(spark, review_edges, name):
     assert {r.node for r in QUERIES[name](spark, SF).collect()} == {x for e in review_edges for x in e[:2]}
+
+
+def test_whole_texts_are_read(spark, tmp_path):
+    long = "neutral words that go on and on and on for a while "
+    rows = [(1, long + "consensus vulnerability", 400), (2, long + "nothing", 400)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.importance: r.n for r in QUERIES["text_importance_whole"](spark, str(tmp_path)).collect()}
+    assert got == {"critical": 1, "low": 1}
+    turns = [("user", "I went back over it. " + long), ("user", "a few words, and then at the end: lgtm"), ("user", "ok")]
+    spark.createDataFrame(turns, "role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert QUERIES["rubber_stamps_whole"](spark, str(tmp_path)).first().stamps == 2
