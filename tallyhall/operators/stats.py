@@ -110,20 +110,24 @@ def mann_whitney(df: DataFrame, group: Column, value: str) -> DataFrame:
     return s.select(n1.cast("long").alias("n1"), n2.cast("long").alias("n2"), u.alias("u"), ((u - n1 * n2 / 2) / sd).alias("z"), (2 * u / (n1 * n2) - 1).alias("rank_biserial"))
 
 
-def adjust(df: DataFrame, p: str, method: str = "fdr_bh", order: str | None = None) -> DataFrame:
-    """Adjusted p-values of a family of tests: fdr_bh, bonferroni or holm."""
-    keys = [p, order] if order else [p]
-    rank = F.row_number().over(Window.orderBy(*keys))
-    m = F.count("*").over(Window.partitionBy(F.lit(1)))
-    r = df.withColumns({"_r": rank, "_m": m})
-    v = F.col(p)
+def adjust(df: DataFrame, p: str, method: str = "fdr_bh") -> DataFrame:
+    """Adjusted p-values of a family of tests: fdr_bh, bonferroni or holm.
+
+    Ranks come from counts per distinct value, not from a sort of all rows;
+    tests of one p-value share the adjusted one. Null p-values aren't counted.
+    """
+    per = df.filter(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_t"))
+    up = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    r = per.withColumns({"_r": F.sum("_t").over(up), "_m": F.sum("_t").over(Window.partitionBy(F.lit(1)))})
+    v = F.col("_p")
     if method == "bonferroni":
         adjusted = v * F.col("_m")
     elif method == "holm":
-        adjusted = F.max(v * (F.col("_m") - F.col("_r") + 1)).over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0))
+        adjusted = F.max(v * (F.col("_m") - F.col("_r") + F.col("_t"))).over(up)
     else:
-        adjusted = F.min(v * F.col("_m") / F.col("_r")).over(Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0))
-    return r.withColumn("p_adjusted", F.least(F.lit(1.0), adjusted)).drop("_r", "_m")
+        adjusted = F.min(v * F.col("_m") / F.col("_r")).over(Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0))
+    r = r.select("_p", F.least(F.lit(1.0), adjusted).alias("p_adjusted"))
+    return df.join(r, F.col(p) == F.col("_p"), "left").drop("_p")
 
 
 def effect_words(x: Column, steps: tuple[float, float, float] = (0.2, 0.5, 0.8)) -> Column:

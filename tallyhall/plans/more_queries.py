@@ -204,6 +204,15 @@ def co_mentions(spark, d):
     return I.co_mentions(e, "nick", "k", c, "c_custkey", "a")
 
 
+@query("co_mentions_all", "SELECT CAST(user_id AS VARCHAR) AS nick, CAST(c_nationkey AS VARCHAR) AS author, count(*) AS n FROM events JOIN customer ON event_id % (SELECT max(c_custkey) + 1 FROM customer) = c_custkey GROUP BY 1, 2 HAVING count(*) >= 3")
+def co_mentions_all(spark, d):
+    """Names that go with the same items three times or more, over all customers (IDR6)."""
+    c = _t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("a"))
+    size = c.agg((F.max("c_custkey") + 1).alias("size"))
+    e = _t(spark, d, "events").crossJoin(size).select(F.col("user_id").cast("string").alias("nick"), (F.col("event_id") % F.col("size")).alias("k"))
+    return I.co_mentions(e, "nick", "k", c, "c_custkey", "a")
+
+
 @query("importance_by_period", "SELECT CASE WHEN year(o_orderdate) < 1998 THEN 'early' ELSE 'late' END AS period, o_orderpriority AS importance, count(*) AS n, round(count(*) FILTER (WHERE o_orderstatus = 'F') / CAST(count(*) AS DOUBLE), 6) AS merge_rate FROM orders GROUP BY 1, 2")
 def importance_by_period(spark, d):
     """Outcome by importance and period (QRY14, QRY15)."""

@@ -228,6 +228,15 @@ def attribution_coverage(spark, d):
     return j.groupBy("o_orderstatus").agg(r6(share).alias("coverage"), Q.within(share, 0.0, 0.35).alias("in_band"))
 
 
+@query("attribution_coverage_all", "SELECT o_orderstatus, round(count(s_suppkey) / CAST(count(*) AS DOUBLE), 6) AS coverage, count(s_suppkey) / CAST(count(*) AS DOUBLE) BETWEEN 0.0 AND 0.35 AS in_band FROM orders LEFT JOIN supplier ON s_suppkey = o_orderkey % (SELECT 10 * (max(s_suppkey) + 1) FROM supplier) GROUP BY 1")
+def attribution_coverage_all(spark, d):
+    """Share of changes with a known merger among all suppliers; one key in ten is known (DQ21, DQ22)."""
+    s = table(spark, d, "supplier").select("s_suppkey")
+    o = table(spark, d, "orders").crossJoin(s.agg((10 * (F.max("s_suppkey") + 1)).alias("size"))).withColumn("k", F.col("o_orderkey") % F.col("size"))
+    share = ratio(F.count("s_suppkey"), F.count("*"))
+    return o.join(s, F.col("k") == F.col("s_suppkey"), "left").groupBy("o_orderstatus").agg(r6(share).alias("coverage"), Q.within(share, 0.0, 0.35).alias("in_band"))
+
+
 @query("quality_status", "WITH i AS (SELECT count(*) FILTER (WHERE o_totalprice > 400000) % 7 AS k, o_orderpriority FROM orders GROUP BY 2) SELECT o_orderpriority, CAST(k AS BIGINT) AS issues, CASE WHEN k = 0 THEN 'excellent' WHEN k <= 2 THEN 'good' WHEN k <= 4 THEN 'fair' ELSE 'poor' END AS status FROM i")
 def quality_status(spark, d):
     """Status words by number of issues (DQ9, DQ17, DQ20)."""
