@@ -24,13 +24,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: that with the least doc_id.
 
-    Rows that share an id are one document. A row without an id is known by
-    its text.
+    Rows that share id and text are one document; rows that share only the id
+    are not. A row without an id comes after those with one.
     """
     text = F.coalesce("text", F.lit(""))
-    own = docs.select(*COLUMNS, F.coalesce("doc_id", -1 - F.shiftrightunsigned(F.xxhash64(text), 1)).alias("_key"))
-    found = simhash.near_duplicates(own, id_col="_key")
-    first = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_key")).distinct()
+    own = docs.select(*COLUMNS, F.xxhash64(F.col("doc_id").isNull(), "doc_id", text).alias("_key"))
+    found = simhash.near_duplicates(own, id_col="_key").select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    rank = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"]
+    first = own.select("_key", "doc_id").distinct().join(found, "_key").groupBy("component_id").agg(rank.alias("_key")).select("_key")
     return own.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
 
 
