@@ -29,6 +29,11 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _composed(s: str) -> bool:
+    """Whether every character is below the letters that normalization or context may change."""
+    return s.isascii() or max(s) < "ɐ"
+
+
 class WordEncoder:
     """``encode(texts)`` gives each text's ids as little-endian uint32 bytes.
 
@@ -72,9 +77,10 @@ class WordEncoder:
 
     def _stem(self, word: str) -> tuple[str, str]:
         """A word as a stem and one mark that are encoded alone: ids(word) = ids(stem) + ids(mark)."""
-        mark = word[-1] if word[-1] in ".,|!" and word[:-1].isalpha() else ""
-        stem = word[: len(word) - len(mark)]
-        if self.lowers and (stem.isascii() or max(stem) < "ɐ"):
+        stem, mark = (word[:-1], word[-1]) if word[-1] in ".,|!" else (word, "")
+        if mark and not (_composed(stem) and stem.lower().isalpha()):
+            stem, mark = word, ""  # a letter may lower to a letter and a mark of its own, which joins this one
+        if self.lowers and _composed(stem):
             stem = stem.lower()
         return stem, mark
 
