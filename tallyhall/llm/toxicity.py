@@ -4,8 +4,10 @@ A written token is taken as a noisy copy of a word: letters replaced by digits
 or marks, letters spaced out or joined by marks, letters repeated. Each written
 character opens a lattice of what it may stand for; Viterbi decoding picks the
 reading that is likeliest under a character trigram model of the whole corpus
-and the channel's costs. The restored text is scored by word and word-stem
-weights learnt from a bounded labelled sample.
+and the channel's costs. Every token goes through it, in training and scoring
+alike; that of a token without digits, marks or doubled letters has one path,
+the token itself. The restored text is scored by word and word-stem weights
+learnt from a bounded labelled sample.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,16 +43,16 @@ READINGS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g
 # Channel costs (natural log): a replaced letter, a dropped repeat, a word edge
 # between spaced letters, a mark left as it is, a double letter read as one, a
 # mark at a word's end that is only punctuation.
-REPLACED, REPEATED, EDGE, UNREAD, DOUBLE, TRIMMED = 0.7, 0.3, 2.5, 6.0, 8.0, 4.0
+REPLACED, REPEATED, EDGE, UNREAD, DOUBLE, TRIMMED = 0.7, 0.3, 2.5, 6.0, 5.0, 4.0
 #: Edges that can't be letters.
 _PLAIN = "".join(c for c in _EDGES if c not in READINGS)
 
 _CODE = np.zeros(0x180, np.int64)
 for _k, _c in enumerate(_LETTERS):
     _CODE[ord(_c)] = _k + 1
-_MARKED = re.compile(r"[@$!|+(€£*]|[0-9].*[^\W\d_]|[^\W\d_].*[0-9]", re.S)
-_PAIR = re.compile(r"([0-9@$!|+(€£*])\1(?!\1)")
+_CHOICE = re.compile(r"[0-9@$!|+(€£*]|([^\W\d_])\1")  # more than one path through the lattice
 _RUN = re.compile(r"([^\W\d_])\1\1")
+_PAIR = re.compile(r"([0-9@$!|+(€£*])\1(?!\1)")
 _JOINED = re.compile(r"^(?:[\w@$!|+(€£][.\-_*~]){2,}[\w@$!|+(€£]$")
 
 
@@ -78,10 +81,8 @@ def corpus_counts(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(ALPHABET**3, np.int64)
         for batch in batches:
-            for t in texts_of(batch[0]):
-                own += np.bincount(trigrams(t), minlength=len(own)) if len(t) > 50_000 else 0
-                if 0 < len(t) <= 50_000:
-                    np.add.at(own, trigrams(t), 1)
+            grams = [trigrams(t) for t in texts_of(batch[0])]
+            own += np.bincount(np.concatenate([np.zeros(0, np.int64), *grams]), minlength=len(own))
         at = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own[at])], ["gram", "n"])
 
@@ -96,23 +97,12 @@ class Decoder:
 
     def __init__(self, model: np.ndarray) -> None:
         self.model = model.tolist()
+        self.known: dict[tuple, list[tuple[str, float, tuple[int, ...]]]] = {}
 
-    def decode(self, token: str, spaced: bool = False, pairs: bool = False) -> str:
-        """The likeliest reading; with ``spaced`` word edges may be put between letters.
-
-        Marks at the ends may be letters or punctuation, which is left out.
-        With ``pairs`` a mark that is written twice stands for two letters.
-        """
-        m = self.model
-        first, last = len(token) - len(token.lstrip(_EDGES)), len(token.rstrip(_EDGES))
-        # state: (last but one, last) -> (score, text)
-        states = {(0, 0): (0.0, "")}
-        k = 0
-        while k < len(token):
-            c = token[k]
-            run = 1
-            while k + run < len(token) and token[k + run] == c:
-                run += 1
+    def _options(self, c: str, run: int, spaced: bool, pairs: bool, at_end: bool) -> list[tuple[str, float, tuple[int, ...]]]:
+        """(reading, cost, codes) of a character written ``run`` times."""
+        key = c, run, spaced, pairs, at_end
+        if key not in self.known:
             own = _CODE[ord(c)] if ord(c) < len(_CODE) else 0
             options: list[tuple[str, float]] = []
             if own:
@@ -126,48 +116,89 @@ class Decoder:
                     options.append((r + r, 2 * REPLACED))
             if not own:
                 options.append((c * run, UNREAD))
-                if not spaced and (k < first or k >= last) and not (pairs and run == 2 and c in READINGS):
+                if not spaced and at_end and not (pairs and run == 2 and c in READINGS):
                     options.append(("", TRIMMED))
-            nxt: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in states.items():
-                for out, cost in options:
+            made = [(text, cost, tuple(int(_CODE[ord(x)]) if ord(x) < len(_CODE) else 0 for x in text)) for text, cost in options]
+            if run > 64:
+                return made
+            self.known[key] = made
+        return self.known[key]
+
+    def lattice(self, token: str, spaced: bool = False, pairs: bool = False) -> list[list[tuple[str, float, tuple[int, ...]]]]:
+        """What each run of equal characters may stand for.
+
+        Marks at the ends may be letters or punctuation, which is left out.
+        With ``pairs`` a mark that is written twice stands for two letters.
+        """
+        first, last = len(token) - len(token.lstrip(_EDGES)), len(token.rstrip(_EDGES))
+        out, k = [], 0
+        while k < len(token):
+            c, lo = token[k], k
+            while k < len(token) and token[k] == c:
+                k += 1
+            out.append(self._options(c, k - lo, spaced, pairs, lo < first or lo >= last))
+        return out
+
+    def decode(self, token: str, spaced: bool = False, pairs: bool = False) -> str:
+        """The likeliest reading; with ``spaced`` word edges may be put between letters."""
+        m = self.model
+        states = [(0, 0, 0.0, "")]  # last but one, last, score, text
+        for options in self.lattice(token, spaced, pairs):
+            if len(options) == 1 and len(states) == 1 and not spaced:
+                x, y, s, text = states[0]
+                out, cost, codes = options[0]
+                for z in codes:
+                    s += m[x][y][z]
+                    x, y = y, z
+                states = [(x, y, s - cost, text + out)]
+                continue
+            nxt: dict[tuple[int, int], tuple[int, int, float, str]] = {}
+            for a, b, score, text in states:
+                for out, cost, codes in options:
                     for lead in ("", " ") if spaced and text else ("",):
                         x, y, s = a, b, score - cost
                         if lead:
                             s += m[x][y][0] - EDGE
                             x, y = y, 0
-                        for ch in out:
-                            z = int(_CODE[ord(ch)]) if ord(ch) < len(_CODE) else 0
+                        for z in codes:
                             s += m[x][y][z]
                             x, y = y, z
                         old = nxt.get((x, y))
-                        if old is None or s > old[0]:
-                            nxt[x, y] = s, text + lead + out
-            states = nxt
-            k += run
-        return max((s + m[a][b][0], t) for (a, b), (s, t) in states.items())[1]
+                        if old is None or s > old[2]:
+                            nxt[x, y] = x, y, s, text + lead + out
+            states = list(nxt.values())
+        return max((s + m[a][b][0], t) for a, b, s, t in states)[1]
 
 
-def suspicious(token: str) -> bool:
-    return bool(_MARKED.search(token) or _RUN.search(token) or _JOINED.match(token))
+def is_number(token: str) -> bool:
+    """Whether a token has no letters and more digits than marks that may be letters."""
+    if not token[:1] or any(c.isalpha() for c in token):
+        return False
+    digits = sum("0" <= c <= "9" for c in token)
+    return digits > sum(c in READINGS for c in token) - digits
 
 
 def restore_token(token: str, decoder: Decoder) -> str:
-    """A token as read; tokens without signs of hiding are themselves."""
-    if not suspicious(token):
-        return token
-    if _JOINED.match(token):
+    """A token as read; a number is itself; letters written once or twice are also read as they are."""
+    if _JOINED.match(token) and not is_number(token):
         return decoder.decode(re.sub(r"[.\-_*~]", "", token), spaced=True)
-    read = decoder.decode(token)
-    if _PAIR.search(token):
-        read = " ".join(dict.fromkeys([read, decoder.decode(token, pairs=True)]))
-    return read
+    if not _CHOICE.search(token) or is_number(token):
+        return token  # one path
+    read = [decoder.decode(token)]
+    if token.isalpha() and not _RUN.search(token):
+        read.insert(0, token)
+    elif _PAIR.search(token):
+        read.append(decoder.decode(token, pairs=True))
+    return " ".join(dict.fromkeys(read))
 
 
 def readings(written: str, decoder: Decoder) -> str:
     """A written word as read without the marks at its ends, and with those that may be letters if that differs."""
-    forms = dict.fromkeys(written.strip(e) or written for e in (_EDGES, _PLAIN))
-    return " ".join(dict.fromkeys(restore_token(w, decoder) for w in forms))
+    inner = written.strip(_EDGES) or written
+    read = restore_token(inner, decoder)
+    if inner != written and (outer := written.strip(_PLAIN) or written) != inner:
+        read = " ".join(dict.fromkeys([read, restore_token(outer, decoder)]))
+    return read
 
 
 def bare(written: str) -> str:
@@ -200,13 +231,42 @@ def restore(text: str, decoder: Decoder) -> str:
     return " ".join([*out, *(readings(w, decoder) for w in written[at:])])
 
 
+class Reader:
+    """What the readings of a text's words and spaced-out words are worth; each written word is read once."""
+
+    def __init__(self, decoder: Decoder, worth) -> None:
+        self.decoder, self.worth = decoder, worth
+        self.cache: dict[str, object] = {}
+        self.single: dict[str, str] = {}  # of the written words in the cache, those of one character
+
+    def values(self, text: str) -> list:
+        words = text.lower().split()
+        own, cache, single = set(words), self.cache, self.single
+        if len(cache) > 400_000:
+            cache.clear()
+            single.clear()
+        for w in own.difference(cache):
+            cache[w] = self.worth(readings(w, self.decoder))
+            if len(c := bare(w)) == 1:
+                single[w] = c
+        found = list(map(cache.__getitem__, own))
+        if sum(map(single.__contains__, words)) >= 3:
+            chars = [single.get(w, "") for w in words]
+            found += [self.worth(self.decoder.decode("".join(chars[lo:hi]), spaced=True)) for lo, hi in spaced_runs(chars)]
+        return found
+
+
+_WORD, _STEM = zlib.crc32(b"w"), zlib.crc32(b"p")
+
+
 def features(word: str) -> list[int]:
     """Places of a restored word: itself and its stems."""
     word = word.strip(_EDGES)
     if not word:
         return []
-    names = ["w" + word, *["p" + word[:k] for k in STEMS if len(word) > k]]
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) % SPACE for n in names]
+    raw, n = word.encode("utf-8", "surrogatepass"), len(word)
+    cuts = [k if len(raw) == n else len(word[:k].encode("utf-8", "surrogatepass")) for k in STEMS if n > k]
+    return [zlib.crc32(raw, _WORD) % SPACE, *[zlib.crc32(raw[:k], _STEM) % SPACE for k in cuts]]
 
 
 @dataclass
@@ -257,9 +317,9 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, at_most: dict[i
     lm = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(lm.value)
+        reader = Reader(Decoder(lm.value), lambda read: [f for w in read.split() for f in features(w)])
         for batch in batches:
-            places = [np.array(sorted({f for w in set(restore(t, decoder).split()) for f in features(w)}), np.int32).tobytes() for t in texts_of(batch[1])]
+            places = [np.array(sorted(set(chain.from_iterable(reader.values(t)))), np.int32).tobytes() for t in texts_of(batch[1])]
             yield pa.RecordBatch.from_arrays([batch[0], batch[2].cast(pa.int32()), pa.array(places, pa.binary())], ["doc_id", "label", "places"])
 
     rows = sample(docs, labels, "toxic", FOLDS, FOLD, at_most or AT_MOST).mapInArrow(run, "doc_id long, label int, places binary").toArrow()
@@ -270,35 +330,17 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, at_most: dict[i
 
 
 class Scorer:
-    """Scores texts; what a written word contributes is worked out once per worker."""
+    """Scores texts by their words' largest weights."""
 
     def __init__(self, model: Model, lm: np.ndarray) -> None:
-        self.model, self.decoder = model, Decoder(lm)
-        self.cache: dict[str, float] = {}
-        self.single: dict[str, str] = {}  # of the written words in the cache, those of one character
+        self.model, self.weights = model, model.weights.tolist()
+        self.reader = Reader(Decoder(lm), self.weight)
 
-    def weight(self, written: str) -> float:
-        read = readings(written, self.decoder)
-        return max((float(self.model.weights[f]) for w in read.split() for f in features(w)), default=0.0)
+    def weight(self, read: str) -> float:
+        return max((self.weights[f] for w in read.split() for f in features(w)), default=0.0)
 
     def score(self, text: str) -> float:
-        words = text.lower().split()
-        own, cache = set(words), self.cache
-        if len(cache) > 300_000:
-            cache.clear()
-            self.single.clear()
-        for w in own:
-            if w not in cache:
-                cache[w] = self.weight(w)
-                if len(c := bare(w)) == 1:
-                    self.single[w] = c
-        found = [v for v in map(cache.__getitem__, own) if v > 0]
-        single = self.single
-        if sum(w in single for w in words) >= 3:
-            chars = [single.get(w, "") for w in words]
-            for lo, hi in spaced_runs(chars):
-                read = self.decoder.decode("".join(chars[lo:hi]), spaced=True)
-                found += [float(self.model.weights[f]) for w in read.split() for f in features(w)]
+        found = [v for v in self.reader.values(text) if v > 0]
         return self.model.score(max(found, default=0.0), sum(v > STRONG for v in found))
 
 
