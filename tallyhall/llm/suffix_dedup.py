@@ -1,32 +1,38 @@
 """Removal of byte strings that start at more than one place, by distributed prefix doubling.
 
-A place is a byte offset in a document. Its rank at length L names the L bytes
-that start there. Ranks of length 2L come from pairs (rank at p, rank at p + L);
-places whose rank is unique drop out; the last length is the threshold (200).
-
-Ranking every byte of a corpus would move each byte dozens of times, so the
-first round ranks a sample of places that loses nothing. Of the ``FIRST``-byte
-strings inside a 200-byte window, the leftmost with the least hash is the
-window's anchor. Equal windows have equal anchors at equal places, so a window
-whose anchor's rank is unique is unique itself. The windows of one anchor are
-consecutive; together they cover its stretch. Rounds:
-
-1. Spark ranks anchors by their first 50 bytes; unique ones drop out.
-2. Anchors are ranked by their whole stretch. Where two stretches agree, every
-   window in them repeats. One anchor of each stretch goes on, if its 50-byte
-   rank also has other stretches.
-3. Those stretches' windows are ranked at 50, 100 and 200 bytes by pairs of
-   ranks at growing offsets, dropping unique ones each time. Spark sorts them by
-   the rank of round 1; stretches of very common ranks are spread over all
-   tasks window by window and counted by partial aggregation.
-
-Ranks are named by 64-bit fingerprints, compared only among places that agree
-in the earlier rank.
+A place is a byte offset in a text. Its rank at length L names the L bytes that
+start there. Spark sorts places by the pair (rank at p, rank at p + L); pairs
+that occur once drop out, the others name the ranks of length 2L; the last
+length is the threshold (200).
+
+Ranking every byte of a corpus would move each byte dozens of times, so places
+are first settled many at a time. Of the ``FIRST``-byte strings inside a
+200-byte window, the leftmost with the least hash is the window's anchor. Equal
+windows have equal anchors at equal places in them. The windows of one anchor
+are consecutive and cover its stretch. Each step gives consecutive windows an
+inner name, of bytes that each of them has, and an outer name, of all bytes
+they have together (``settled``): where the inner name is unique, so is every
+window; where the outer name repeats, so does every window; otherwise one of
+each outer name goes on. Steps:
+
+1. An anchor's windows: its 50 bytes (rank at length 50), its whole stretch.
+2. Of the stretches that go on, runs of ``RUN`` windows at equal distances from
+   the anchor.
+3. Of the runs that go on, single places by prefix doubling: pairs of ranks 50
+   apart, then 100 apart.
+
+All three are the same plain aggregations and joins at any size. Counts are
+combined before the shuffle and joined to the rows in a plan of their own, so
+that Spark can split a rank of any frequency over many tasks; nothing is
+gathered by rank.
+
+Ranks are 64-bit fingerprints. Two strings are taken as equal only where two of
+them agree (the inner and the outer name; both ranks of the last pair), so a
+place is taken wrongly with a chance of about its rank's frequency in 2^64.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +43,10 @@ from pyspark.sql import functions as F
 from tallyhall.llm.common import discard, stash, tuned
 
 THRESHOLD, FIRST = 200, 50
-#: Windows worked on at once, and stretches of one first rank that one task may meet.
-_SEGMENT, COMMON = 1 << 22, 4096
+#: Windows of a run.
+RUN = 16
+#: Windows of one text worked on at once, and rows handed on at once.
+_SEGMENT, _ROWS = 1 << 18, 1 << 16
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -87,190 +95,197 @@ def _least(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:m], ahead[w - 1 : w - 1 + m])
 
 
-def anchors(data: bytes, threshold: int = THRESHOLD, first: int = FIRST) -> tuple[np.ndarray, ...]:
-    """(x, lo, hi, rank, stretch): each anchor, its first and last window, its rank and its stretch's."""
-    out = []
+def anchors(data: bytes, threshold: int = THRESHOLD, first: int = FIRST) -> Iterator[tuple[np.ndarray, ...]]:
+    """(place, rank, name of the stretch) of a text's anchors, piece by piece.
+
+    A place is an anchor's offset and how far before it its first and its last
+    window start (32, 16 and 16 bits).
+    """
     for s in range(0, max(0, len(data) - threshold + 1), _SEGMENT):
-        part = np.frombuffer(data, np.uint8)[s : s + _SEGMENT + threshold - 1]
-        p = Prints(part)
+        p = Prints(np.frombuffer(data, np.uint8)[s : s + _SEGMENT + threshold - 1])
         h = _mix(p.all(first), 0)
-        placed = (h & ~np.uint64((1 << 24) - 1)) | np.arange(len(h), dtype=np.uint64)
-        x = (_least(placed, threshold - first + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
+        low = np.uint64((1 << 24) - 1)
+        placed = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+        x = (_least(placed, threshold - first + 1) & low).astype(np.int64)
         cut = np.flatnonzero(np.diff(x)) + 1
         lo, hi = np.concatenate([[0], cut]), np.concatenate([cut, [len(x)]]) - 1
         x = x[lo]
-        stretch = _mix(p.at(lo, hi + threshold) + _mix((x - lo).astype(np.uint64) << np.uint64(20) | (hi - lo).astype(np.uint64), 3), 2)
-        out.append((x + s, lo + s, hi + s, _mix(h[x], 1), stretch))
-    if not out:
-        return (*[np.zeros(0, np.int64)] * 3, *[np.zeros(0, np.uint64)] * 2)
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
-
-
-def _repeated(names: np.ndarray) -> np.ndarray:
-    """Which values occur more than once."""
-    order = np.argsort(names, kind="stable")
-    s = names[order]
-    same = np.concatenate([[False], s[1:] == s[:-1]])
-    out = np.zeros(len(s), bool)
-    out[order] = same | np.concatenate([same[1:], [False]])
-    return out
-
-
-def window_ranks(data: np.ndarray, at: np.ndarray, group: np.ndarray, first: int, threshold: int) -> np.ndarray:
-    """Which of the windows at some places repeat within their group, by prefix doubling."""
-    length, rank = first, _mix(Prints(data).all(first), 0)
-    alive = np.arange(len(at))
-    seed = _mix(group, 7)
-    while len(alive):
-        names = rank[at[alive]] + seed[alive] if length < threshold else None
-        if names is None:
-            break
-        alive = alive[_repeated(names)]
-        step = min(length, threshold - length)  # growing offsets: 50, 100, then the threshold
-        n = len(rank) - step
-        rank = _mix(rank[:n] * np.uint64(3) + _mix(rank[step:], length), length)
-        length += step
-    out = np.zeros(len(at), bool)
-    if len(alive):
-        out[alive[_repeated(rank[at[alive]] + seed[alive])]] = True
-    return out
+        shape = (x - lo) << 16 | (x - hi)
+        yield (x + s) << 32 | shape, _mix(h[x], 1), _mix(p.at(lo, hi + threshold) + _mix(shape.astype(np.uint64), 3), 2)
 
 
 def _binary(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-_ANCHOR = "did long, th long, x int, lo int, hi int, rank long, stretch long"
+def _batch(columns: list, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.view(np.int64)) for c in columns], names)
+
+
+_NAMED = "t long, u long, own long, place long, inner long, outer long"
+_NAMES = [x.split()[0] for x in _NAMED.split(", ")]
 
 
 def _anchor_rows(threshold: int, first: int):
+    """Of ``t, u, own, text``: every anchor."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [anchors(b, threshold, first) for b in _binary(batch[2])]
-            which = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-            cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 5
-            yield pa.RecordBatch.from_arrays(
-                [batch[0].take(pa.array(which)), batch[1].take(pa.array(which)), *[pa.array(c.astype(np.int32)) for c in cols[:3]], *[pa.array(c.view(np.int64)) for c in cols[3:]]],
-                ["did", "th", "x", "lo", "hi", "rank", "stretch"],
-            )
+            held, rows = [], 0
+
+            def done(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                which = pa.array(np.repeat([i for i, _ in held], [len(f[0]) for _, f in held]), pa.int64())
+                cols = [np.concatenate([f[k] for _, f in held]) if held else np.zeros(0, np.int64) for k in range(3)]
+                return _batch([*(batch[k].take(which) for k in range(3)), *cols], _NAMES)
+
+            for i, text in enumerate(_binary(batch[3])):
+                for found in anchors(text, threshold, first):
+                    held.append((i, found))
+                    rows += len(found[0])
+                    if rows >= _ROWS:
+                        yield done()
+                        held, rows = [], 0
+            yield done()
 
     return run
 
 
-_STRETCH = "did long, th long, lo int, rank long, stretch long, data binary"
+_CUT = "t long, u long, own long, data binary"
 
 
 def _cut_stretches(threshold: int):
-    """Each representative's bytes, from its document's text."""
+    """Of ``t, u, text, places``: each place's bytes, from its first window to its last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for did, th, text, reps in zip(batch[0].to_pylist(), batch[1].to_pylist(), _binary(batch[2]), batch[3].to_pylist(), strict=True):
-                rows += [(did, th, r["lo"], r["rank"], r["stretch"], text[r["lo"] : r["hi"] + threshold]) for r in reps]
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["did", "th", "lo", "rank", "stretch", "data"])
+            which, own, data = [], [], []
+            for i, (text, places) in enumerate(zip(_binary(batch[2]), batch[3].to_pylist(), strict=True)):
+                for p in places:
+                    which.append(i)
+                    own.append(p)
+                    data.append(text[(p >> 32) - (p >> 16 & 0xFFFF) : (p >> 32) - (p & 0xFFFF) + threshold])
+            w = pa.array(which, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch[0].take(w), batch[1].take(w), pa.array(own, pa.int64()), pa.array(data, pa.binary())], [x.split()[0] for x in _CUT.split(", ")])
 
     return run
 
 
-def _laid_out(blobs: list[bytes], threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All bytes in one array; each window's place, stretch and offset in it."""
-    lengths = np.array([len(b) for b in blobs])
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    n = lengths - threshold + 1
-    which = np.repeat(np.arange(len(blobs)), n)
-    offset = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    return np.frombuffer(b"".join(blobs), np.uint8), starts[which] + offset, which, offset
+def _opened(own: np.ndarray, data: list[bytes]) -> tuple[Prints, np.ndarray]:
+    """Fingerprints of all stretches' bytes, and where each stretch's anchor is in them."""
+    starts = np.cumsum([0, *map(len, data)])[:-1]
+    return Prints(np.frombuffer(b"".join(data), np.uint8)), starts + (own >> 16 & 0xFFFF)
 
 
-_SPAN = "did long, th long, lo int, hi int"
+def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, value) of every value of some ranges."""
+    n = last - first + 1
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + first[which]
 
 
-def _rank_stretches(threshold: int, first: int):
-    """Spans of repeated windows of stretches that come sorted by rank."""
-
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        seen, own = set(), []
-        for r in rows:  # repeated rows of one document give a representative twice
-            if (r[3], r[4]) not in seen:
-                seen.add((r[3], r[4]))
-                own.append(r)
-        data, at, which, offset = _laid_out([r[5] for r in own], threshold)
-        group = np.array([r[3] for r in own], np.int64).view(np.uint64)
-        hit = window_ranks(data, at, group[which], first, threshold)
-        which, offset = which[hit], offset[hit]
-        new = np.concatenate([[True], (np.diff(which) != 0) | (np.diff(offset) != 1)]) if len(which) else np.zeros(0, bool)
-        a = np.flatnonzero(new)
-        b = np.concatenate([a[1:], [len(which)]]) - 1 if len(a) else a
-        cols = [own[k][0] for k in which[a]], [own[k][1] for k in which[a]], [own[k][2] + int(o) for k, o in zip(which[a], offset[a], strict=True)], [own[k][2] + int(o) + threshold for k, o in zip(which[b], offset[b], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["did", "th", "lo", "hi"])
+def _run_rows(threshold: int, size: int):
+    """Of ``t, u, own, data``: the runs of a stretch's windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
         for batch in batches:
-            held += list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            if len(held) >= 4 * COMMON:
-                k = len(held)
-                while k and held[k - 1][3] == held[-1][3]:
-                    k -= 1
-                if k:  # all but the rank that may go on
-                    yield solve(held[:k])
-                    held = held[k:]
-        if held:
-            yield solve(held)
+            own = batch[2].to_numpy()
+            p, anchor = _opened(own, batch[3].to_pylist())
+            far, near = own >> 16 & 0xFFFF, own & 0xFFFF
+            which, k = _spread(near // size, far // size)
+            x, a, b = anchor[which], np.minimum(far[which], k * size + size - 1), np.maximum(near[which], k * size)
+            shape = a << 16 | b
+            inner = _mix(p.at(x - k * size, x - k * size - size + 1 + threshold) + _mix(k.astype(np.uint64), 5), 4)
+            outer = _mix(p.at(x - a, x - b + threshold) + _mix(shape.astype(np.uint64), 3), 6)
+            w = pa.array(which)
+            yield _batch([*(batch[k].take(w) for k in range(3)), own[which] >> 32 << 32 | shape, inner, outer], _NAMES)
 
     return run
 
 
-def _window_rows(threshold: int, first: int):
-    """One row for each window of very common ranks: its name and place."""
+def _place_rows(threshold: int, first: int):
+    """Of ``t, u, own, data, places``: the ranks of the first length over each window of some runs."""
+    names = ["t", "u", "place", *(f"r{k}" for k in range(threshold // first))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = batch[5].to_pylist()
-            data, at, which, offset = _laid_out(blobs, threshold) if blobs else (np.zeros(0, np.uint8), *[np.zeros(0, np.int64)] * 3)
-            group = batch[3].to_numpy().view(np.uint64)[which] if blobs else np.zeros(0, np.uint64)
-            p = Prints(data)
-            name = _mix(p.at(at, at + threshold) + _mix(group, 7), 9)
-            w = pa.array(which)
-            yield pa.RecordBatch.from_arrays([batch[0].take(w), batch[1].take(w), batch[4].take(w), pa.array((batch[2].to_numpy()[which] + offset).astype(np.int32)), pa.array(name.view(np.int64))], ["did", "th", "stretch", "lo", "name"])
+            own, places = batch[2].to_numpy(), batch[4].to_pylist()
+            p, anchor = _opened(own, batch[3].to_pylist())
+            of = np.repeat(np.arange(len(own)), [len(x) for x in places])
+            place = np.array([y for x in places for y in x], np.int64)
+            which, back = _spread(place & 0xFFFF, place >> 16 & 0xFFFF)
+            at = anchor[of[which]] - back
+            ranks = [_mix(p.at(at + d, at + d + first), 0) for d in range(0, threshold, first)]
+            w = pa.array(of[which])
+            yield _batch([batch[0].take(w), batch[1].take(w), place[which] >> 32 << 32 | back << 16 | back, *ranks], names)
 
     return run
 
 
-def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, first: int = FIRST, common: int = COMMON) -> DataFrame:
-    """``did, th, spans`` of each document (doc_id, text hash) that has repeats; spans may overlap.
+def settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``t, u, place`` whose windows all repeat, ``t, u, own, place`` that go on) of a stashed table of names.
 
-    docs: ``did, th, text``. Repeated rows are documents of their own: each
-    repeats the other.
+    ``rows`` is discarded. Of those that go on there is one for each outer name.
     """
-    every = stash(docs.mapInArrow(_anchor_rows(threshold, first), _ANCHOR), "anchors")
-    # Counted apart: a join whose sides are both plain exchanges can split a very common rank.
-    shared = stash(every.groupBy("rank").agg(F.count("*").alias("n"), (F.min("stretch") != F.max("stretch")).alias("several")).filter("n > 1").select("rank", "several"), "ranks")
-    some = stash(every.join(shared, "rank"), "anchors")
-    discard(every)
-    rep = F.min(F.struct("th", "did", "lo", "hi")).alias("rep")
-    classes = stash(some.groupBy("rank", "stretch").agg(F.count("*").alias("n"), F.first("several").alias("several"), rep), "stretches")
-    end = (F.col("hi") + threshold).alias("hi")
-    whole = some.join(classes.filter("n > 1").select("rank", "stretch"), ["rank", "stretch"]).select("did", "th", "lo", end)
-    # One anchor of each stretch whose rank has other stretches: its bytes, cut from the text.
-    reps = classes.filter("several").select("rank", "stretch", "rep.*")
-    sizes = stash(reps.groupBy("rank").agg(F.count("*").alias("n")), "ranks")
-    by_doc = reps.groupBy("did", "th").agg(F.collect_list(F.struct("lo", "hi", "rank", "stretch")).alias("reps"))
-    texts = docs.withColumnsRenamed({"did": "d", "th": "t"})
-    at = F.col("d").eqNullSafe(F.col("did")) & (F.col("t") == F.col("th"))
-    cut = stash(by_doc.join(texts, at).select("did", "th", "text", "reps").mapInArrow(_cut_stretches(threshold), _STRETCH).join(sizes, "rank").select("did", "th", "lo", "rank", "stretch", "data", "n"), "cuts")
-    cols = ["did", "th", "lo", "rank", "stretch", "data"]
-    few = cut.filter(F.col("n") <= common).select(*cols).repartition("rank").sortWithinPartitions("rank").mapInArrow(_rank_stretches(threshold, first), _SPAN)
-    windows = cut.filter(F.col("n") > common).select(*cols).mapInArrow(_window_rows(threshold, first), "did long, th long, stretch long, lo int, name long").distinct()
-    names = stash(windows.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name"), "names")
-    many = windows.join(names, "name").select("did", "th", "lo", (F.col("lo") + threshold).alias("hi"))
-    refined = stash(few.unionByName(many), "spans")
-    discard(cut)
-    spans = whole.unionByName(refined)
-    return spans.groupBy("did", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    shared = stash(rows.groupBy("inner").agg(F.count("*").alias("n"), (F.min("outer") != F.max("outer")).alias("several")).filter("n > 1").select("inner", "several"), "names")
+    some = stash(rows.join(shared, "inner"), "named")
+    discard(rows)
+    discard(shared)
+    one = [F.first(c).alias(c) for c in ("several", "t", "u", "own", "place")]  # all of one row
+    classes = stash(some.groupBy("inner", "outer").agg(F.count("*").alias("n"), *one), "classes")
+    whole = stash(some.join(classes.filter("n > 1").select("inner", "outer"), ["inner", "outer"]).select("t", "u", "place").distinct(), "whole")
+    discard(some)
+    reps = stash(classes.filter("several").groupBy("t", "u", "own").agg(F.collect_list("place").alias("places")), "reps")
+    discard(classes)
+    return whole, reps
+
+
+def doubled(places: DataFrame, ranks: int) -> DataFrame:
+    """``t, u, place`` (and a rank) of the places whose bytes repeat, by pairs of ranks at growing offsets.
+
+    ``places`` (stashed, discarded) has ``r0, r1, ...``: the ranks of one length
+    that many bytes apart. A round sorts places by the pair at p, drops pairs
+    that occur once and names the others' ranks of twice the length.
+    """
+    while ranks > 1:
+        pairs = stash(places.groupBy("r0", "r1").agg(F.count("*").alias("n")).filter("n > 1").select("r0", "r1"), "pairs")
+        longer = [F.xxhash64(f"r{k}", f"r{k + 1}").alias(f"r{k // 2}") for k in range(0, ranks, 2)]
+        alive = stash(places.join(pairs, ["r0", "r1"]).select("t", "u", "place", *longer), "places")
+        discard(places)
+        discard(pairs)
+        places, ranks = alive, ranks // 2
+    return places
+
+
+def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, first: int = FIRST, size: int = RUN) -> DataFrame:
+    """``t, u, spans`` of each text (two hashes) that has repeats; spans may overlap.
+
+    docs: ``t, u, own, text``, own being the document's id. Copies of a text are
+    documents of their own: each repeats the other.
+    """
+    ranks = threshold // first
+    if first * ranks != threshold or ranks & (ranks - 1):
+        raise ValueError("the threshold must be the first length, doubled some times")
+    size = min(size, first)
+    whole, reps = settled(stash(docs.mapInArrow(_anchor_rows(threshold, first), _NAMED), "anchors"))
+    # One stretch of each name: its bytes, cut from the text.
+    key = reps.withColumnsRenamed({"t": "_t", "u": "_u", "own": "_own"})
+    at = (F.col("t") == F.col("_t")) & (F.col("u") == F.col("_u")) & F.col("own").eqNullSafe(F.col("_own"))
+    cuts = stash(docs.join(key, at).select("t", "u", "text", "places").mapInArrow(_cut_stretches(threshold), _CUT), "cuts")
+    discard(reps)
+    runs, open_ = settled(stash(cuts.mapInArrow(_run_rows(threshold, size), _NAMED), "runs"))
+    kinds = "t long, u long, place long, " + ", ".join(f"r{k} long" for k in range(ranks))
+    places = stash(cuts.join(open_, ["t", "u", "own"]).select("t", "u", "own", "data", "places").mapInArrow(_place_rows(threshold, first), kinds), "places")
+    discard(cuts)
+    discard(open_)
+    single = doubled(places, ranks)
+    x = F.shiftright("place", 32)
+    lo = (x - F.shiftright("place", 16).bitwiseAND(F.lit(0xFFFF))).cast("int").alias("lo")
+    hi = (x - F.col("place").bitwiseAND(F.lit(0xFFFF)) + threshold).cast("int").alias("hi")
+    found = whole.unionByName(runs).unionByName(single.select("t", "u", "place"))
+    spans = stash(found.groupBy("t", "u").agg(F.collect_set(F.struct(lo, hi)).alias("spans")), "spans")
+    for done in (whole, runs, single):
+        discard(done)
+    return spans
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -284,23 +299,24 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def _keyed(df: DataFrame, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.col("doc_id").cast("long").alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
+def _hashes(text) -> tuple:
+    """A text's two hashes."""
+    return F.xxhash64(text).alias("t"), F.xxhash64(F.lit(1), text).alias("u")
 
 
-def remove_repeats(df: DataFrame, threshold: int = THRESHOLD, first: int = FIRST, text_col: str = "text", common: int = COMMON) -> DataFrame:
+def remove_repeats(df: DataFrame, threshold: int = THRESHOLD, first: int = FIRST, text_col: str = "text", size: int = RUN) -> DataFrame:
     """Every row, with ``kept`` (binary: what is left of its text) and ``removed`` (array of lo, hi in bytes).
 
     Null texts are empty; texts under ``threshold`` bytes lose nothing; repeated
-    rows lose everything that is long enough. ``doc_id`` may be null or repeat.
-    Other columns are kept as they are.
+    rows lose everything that is long enough. ``doc_id`` may be null or repeat;
+    ties don't matter, as every place of a repeated string goes. An empty table
+    gives an empty one. Other columns are kept as they are.
     """
     tuned(df.sparkSession)
-    spans = repeated_spans(_keyed(df, text_col), threshold, first, common)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.struct(*df.columns).alias("_row"), F.col("doc_id").cast("long").alias("_d"), F.xxhash64(text).alias("_t"), text.alias("_text"))
-    joined = rows.join(spans, F.col("_d").eqNullSafe(F.col("did")) & (F.col("_t") == F.col("th")), "left").select("_row", "_text", "spans")
+    spans = repeated_spans(df.select(*_hashes(text), F.col("doc_id").cast("long").alias("own"), text.alias("text")), threshold, first, size)
+    rows = df.select(F.struct(*df.columns).alias("_row"), *_hashes(text), text.alias("_text"))
+    joined = rows.join(spans, ["t", "u"], "left").select("_row", "_text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

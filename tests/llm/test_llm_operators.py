@@ -165,13 +165,13 @@ def test_suffix_dedup(docs, none):
     assert suffix_dedup.digest(none).count() == 0
 
 
-@pytest.mark.parametrize("common", [1, 4096])
-def test_suffix_dedup_common_ranks_and_short_thresholds(spark, common):
-    r = random.Random(common)
+@pytest.mark.parametrize("seed", [1, 4096])
+def test_suffix_dedup_common_ranks_and_short_thresholds(spark, seed):
+    r = random.Random(seed)
     passage = "".join(r.choice("abcd") for _ in range(60))
     rows = [(k, "".join(r.choice("abcd") for _ in range(r.randint(0, 80))) + passage[r.randint(0, 9) : r.randint(50, 60)] + "".join(r.choice("abcd") for _ in range(20))) for k in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = suffix_dedup.remove_repeats(df, threshold=20, first=5, common=common)
+    got = suffix_dedup.remove_repeats(df, threshold=20, first=5)
     want = [(i, b) for (i, _), (_, _, _, b) in zip(rows, brute_repeats([t for _, t in rows], 20), strict=True)]
     assert sorted((x.doc_id, bytes(x.kept)) for x in got.collect()) == sorted(want)
 
