@@ -30,7 +30,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of a block, islands that work on each, rounds between which elites migrate.
 BLOCK_PIECES, ISLANDS, ROUNDS = 8192, 2, 3
-POPULATION, GENERATIONS = 6, 6
+#: Individuals of an island, generations in a round, and how far down a first order's noise takes a size.
+POPULATION, GENERATIONS, NOISE = 4, 8, 0.8
 #: Share of a block's bins, poorest first, that is packed again with other blocks' leftovers.
 RELEASED = 0.02
 
@@ -109,8 +110,8 @@ def crossover(a: list[list[int]], b: list[list[int]], size: list[int], capacity:
     bins, displaced = Bins(capacity), []
     for x in injected:
         bins.add(list(x), sum(size[i] for i in x))
-    poor = sorted(range(len(a)), key=lambda k: sum(size[i] for i in a[k]))[: max(2, len(a) // 50)]
-    opened = set(poor)  # mutation: the poorest bins are dissolved too
+    poor = sorted(range(len(a)), key=lambda k: sum(size[i] for i in a[k]))[: max(2, int(len(a) * rng.random()))]
+    opened = set(poor)  # mutation: some of the bins, poorest first, are dissolved too
     for k, x in enumerate(a):
         if k in opened or not taken.isdisjoint(x):
             displaced += [i for i in x if i not in taken]
@@ -122,27 +123,30 @@ def crossover(a: list[list[int]], b: list[list[int]], size: list[int], capacity:
     return bins.all
 
 
-def evolve(size: list[int], capacity: int, seed: int, elite: list[list[list[int]]] = (), population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
-    """One island's best grouping; stops as soon as no grouping can have fewer bins."""
-    bound, rng = -(-sum(size) // capacity), random.Random(seed)
-    by_size = sorted(range(len(size)), key=lambda i: -size[i])
+def evolve(size: list[int], capacity: int, seed: int, elite: list[list[list[int]]] = (), population: int = POPULATION, generations: int = GENERATIONS) -> tuple[list[list[int]], int]:
+    """One island's best grouping and how many crossovers it took.
+
+    The first individuals fit their pieces in noisy orders, which leaves waste;
+    crossover has to close it. At least one generation is bred; then an island
+    stops as soon as no grouping can have fewer bins.
+    """
+    bound, rng, bred = -(-sum(size) // capacity), random.Random(seed), 0
     people = [list(map(list, e)) for e in elite]
-    if not people:
-        people.append(fit_all(by_size, size, capacity))
-    while len(people) < population and min(map(len, people)) > bound:
-        noisy = sorted(by_size, key=lambda i: -size[i] * rng.uniform(0.8, 1.0))
+    while len(people) < population:
+        noisy = sorted(range(len(size)), key=lambda i: -size[i] * rng.uniform(NOISE, 1.0))
         people.append(fit_all(noisy, size, capacity))
     key = lambda p: fitness(p, size, capacity)
     people.sort(key=key)
-    for _ in range(generations):
-        if len(people[0]) <= bound or len(people) < 2:
+    for turn in range(generations):
+        if turn and len(people[0]) <= bound:
             break
         half = people[: max(2, len(people) // 2)]
         while len(half) < population:
-            x, y = rng.sample(range(min(len(half), 4)), 2)
+            x, y = rng.sample(range(len(half)), 2)
             half.append(crossover(half[x], half[y], size, capacity, rng))
+            bred += 1
         people = sorted(half, key=key)
-    return people[0]
+    return people[0], bred
 
 
 def _island(keys: tuple, frame: pd.DataFrame, capacity: int, seed: int) -> pd.DataFrame:
@@ -157,12 +161,12 @@ def _island(keys: tuple, frame: pd.DataFrame, capacity: int, seed: int) -> pd.Da
             grouped.setdefault(b, []).append(at[u])
         elite.append(list(grouped.values()))
     size = own["length"].tolist()
-    best = evolve(size, capacity, seed * 1_000_003 + int(keys[0]) * 31 + int(keys[1]), elite)
+    best, bred = evolve(size, capacity, seed * 1_000_003 + int(keys[0]) * 31 + int(keys[1]), elite)
     bins = np.empty(len(size), np.int64)
     for k, x in enumerate(best):
         bins[x] = k
     own["bin"], own["island"], own["origin"] = bins, int(keys[1]), 0
-    own["bins"], own["bound"] = len(best), -(-sum(size) // capacity)
+    own["bins"], own["bound"], own["crossovers"] = len(best), -(-sum(size) // capacity), int(frame["crossovers"].max()) + bred
     return own
 
 
@@ -188,17 +192,17 @@ def _grouped(fn, *args):
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES, islands: int = ISLANDS, rounds: int = ROUNDS) -> DataFrame:
-    """Place pieces (``cut_pieces``) in sequences of ``capacity`` tokens: adds ``sequence_id`` and ``offset``."""
+    """Place pieces (``cut_pieces``) in sequences of ``capacity`` tokens: adds ``sequence_id``, ``offset`` and the ``crossovers`` that the island which placed a piece took."""
     spark = tuned(pieces.sparkSession)
     cols = [F.col(x.split()[0]) for x in _PIECE.split(", ")]
-    done = [pieces.filter(F.col("length") >= capacity).select(*cols, (-F.col("uid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    done = [pieces.filter(F.col("length") >= capacity).select(*cols, (-F.col("uid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("crossovers"))]
     left, level = pieces.filter(F.col("length") < capacity).select(*cols), 0
-    island_schema = _PIECE + ", block long, island int, origin int, bin long, bins long, bound long"
+    island_schema = _PIECE + ", block long, island int, origin int, bin long, crossovers long, bins long, bound long"
     placed_schema = island_schema + ", offset long, sequence_id long, released boolean"
     while n := left.count():
         blocks = -(-n // block_pieces)
         home = F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(blocks)).alias("block")
-        start = left.select(*cols, home, F.lit(0).alias("origin"), F.lit(-1).cast("long").alias("bin"))
+        start = left.select(*cols, home, F.lit(0).alias("origin"), F.lit(-1).cast("long").alias("bin"), F.lit(0).cast("long").alias("crossovers"))
         todo = start.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
         solved = []
         for turn in range(rounds):
@@ -216,7 +220,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_
         for s in solved[1:]:
             every = every.unionByName(s)
         placed = stash(every.groupBy("block").applyInPandas(_grouped(_placed, capacity, level, blocks == 1), placed_schema), "placed")
-        done.append(placed.filter(~F.col("released")).select(*cols, "sequence_id", "offset"))
+        done.append(placed.filter(~F.col("released")).select(*cols, "sequence_id", "offset", "crossovers"))
         left, level = placed.filter("released").select(*cols), level + 1
     out = done[0]
     for d in done[1:]:
@@ -228,8 +232,8 @@ def pack_documents(df: DataFrame, path: str | None = None, capacity: int = CAPAC
     """Tokenize, cut and pack a table of documents.
 
     Null texts are empty (one end id); an empty table gives an empty result;
-    repeated rows and ids are packed as documents of their own; other columns
-    are ignored.
+    repeated rows and ids are packed as documents of their own; of groupings
+    with equally many bins any may win; other columns are ignored.
     """
     tuned(df.sparkSession)
     pieces = stash(cut_pieces(df, path, capacity=capacity), "pieces")

@@ -259,6 +259,19 @@ def test_packing_islands_and_levels(spark):
     out = packing.pack(df, block_pieces=100, rounds=2).collect()
     assert sorted(x.uid for x in out) == list(range(600))
     assert len({x.sequence_id for x in out}) <= -(-sum(size) // 4096) + 4
+    assert all(x.crossovers > 0 for x in out)  # no piece is placed by best fit alone
+
+
+def test_crossover_closes_the_waste_of_first_orders():
+    plain = bred_ = 0
+    for seed in range(6):
+        r = random.Random(seed)
+        size = [r.randint(200, 1800) for _ in range(900)]
+        best, bred = packing.evolve(size, 4096, seed)
+        plain += len(packing.fit_all(sorted(range(len(size)), key=lambda i: -size[i]), size, 4096))
+        bred_ += len(best)
+        assert bred > 0 and sorted(i for x in best for i in x) == list(range(len(size))) and max(sum(size[i] for i in x) for x in best) <= 4096
+    assert bred_ < plain  # fewer bins than best fit alone, largest first
 
 
 def test_grouping_crossover_keeps_every_piece():
