@@ -3,8 +3,8 @@
 Terms of a text are pairs of neighbouring character classes, hashed words and
 bins of a few shares (distinct words, repeated lines, the commonest word, the
 length). Latent semantic analysis: log counts weighted by inverse document
-frequency, projected on the leading singular vectors of a bounded labelled
-sample. Every document's vector meets all labelled vectors in exact blocked
+frequency over all documents, projected on the leading singular vectors of a
+bounded labelled sample. Every document's vector meets all labelled vectors in exact blocked
 cosine products; the nearest labels are weighted by similarity.
 """
 
@@ -94,10 +94,27 @@ class Model:
         return (weight * self.labels[at]).sum(1) / weight.sum(1)
 
 
-def fit(counts: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS) -> Model:
-    """Leading singular vectors through the Gram matrix of the sample, which is never larger than the sample squared."""
-    df = (counts > 0).sum(0)
-    idf = np.log((1 + len(counts)) / (1 + df)).astype(np.float32) + 0.1
+def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of documents and, of each term, how many have it: partial counts per task, ``TERMS`` rows to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(TERMS + 1, np.int64)
+        for batch in batches:
+            for t in texts_of(batch[0]):
+                own[:TERMS] += terms(t) > 0
+                own[TERMS] += 1
+        at = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own[at])], ["term", "n"])
+
+    out = np.zeros(TERMS + 1, np.int64)
+    rows = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out[rows["term"].to_numpy()] = rows["n"].to_numpy()
+    return int(out[TERMS]), out[:TERMS]
+
+
+def fit(counts: np.ndarray, labels: np.ndarray, n: int, df: np.ndarray, dimensions: int = DIMENSIONS) -> Model:
+    """Leading singular vectors of the sample by subspace iteration; ``n`` and ``df`` are the corpus's document frequencies."""
+    idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 0.1
     a = np.log1p(counts) * idf
     a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-9)
     rng = np.random.default_rng(3)
@@ -125,7 +142,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
-    """A model from at most ``per_class`` labelled documents of each class; None if there are none."""
+    """A model from at most ``per_class`` labelled documents of each class and all documents' term frequencies; None without labels."""
     rows = sample(docs, labels, "quality", FOLDS, FOLD, {0: per_class, 1: per_class}).mapInArrow(_packed, "doc_id long, label int, at binary, counts binary").collect()
     if not rows:
         return None
@@ -133,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     counts = np.zeros((len(rows), TERMS), np.float32)
     for k, r in enumerate(rows):
         counts[k, np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["counts"], np.float32)
-    return fit(counts, np.array([r.label for r in rows]))
+    return fit(counts, np.array([r.label for r in rows]), *document_frequencies(docs))
 
 
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = 0.3) -> DataFrame:
