@@ -175,12 +175,19 @@ def write_tokens(df: DataFrame, path: str | None = None, out_dir: str | None = N
             yield flush()
 
     src = df.select(F.col(id_col).cast("long").alias("_d"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    dealt = src.repartitionByRange("_d").sortWithinPartitions("_d", F.xxhash64("_t"))
+    # The text's hash is part of the range key, so that rows without an id, or of one id, are dealt over many tasks.
+    order = [F.col("_d").asc_nulls_first(), F.xxhash64("_t").asc()]
+    dealt = src.repartitionByRange(*order).sortWithinPartitions(*order)
     return stash(dealt.mapInArrow(write, "part int, seq int, path string, n_docs long, n_ids long"), "dac-manifest")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files."""
+    """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files.
+
+    Documents come as they were written: nulls first, equal ids in the order of
+    their texts' hashes, repeated rows each on its own, empty texts as one end
+    id; an empty manifest gives no rows.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +202,10 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                         crcs[i] = zlib.crc32(ids[first[i] - first[lo] : first[i + 1] - first[lo]])
                 yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids, pa.int64()), pa.array(base + first[:-1]), pa.array(np.diff(first)), pa.array(crcs)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    files = manifest.select("path", before.alias("base"))
+    # Sums per part come first: only one row for each part meets in one task, not one for each file.
+    earlier = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", earlier(Window.orderBy("part")).alias("_parts"))
+    within = manifest.withColumn("_files", earlier(Window.partitionBy("part").orderBy("seq")))
+    files = within.join(parts, "part").select("path", (F.col("_parts") + F.col("_files")).alias("base"))
     n = manifest.count()
     return files.repartition(max(1, n)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
