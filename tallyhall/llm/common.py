@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,9 +13,11 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyhall.plans.registry import spread
+
 #: Arrow batches handed to Python hold at most so many rows and bytes, so that
 #: a run of very long texts cannot outgrow a worker.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 _shipped: set[str] = set()
@@ -35,7 +38,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Ship the package; bound Arrow batches; drop shuffle files as soon as the job that made them ends."""
+    """Ship the package; bound Arrow batches; drop shuffle files as soon as the job that made them ends.
+
+    The three settings stay set: results are lazy, and the caller's action needs them.
+    """
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -44,17 +50,20 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where it is unset, as in local tests, a temporary folder becomes the
-    session's checkpoint folder.
+    Where it is unset and everything runs in one process, as in tests, a
+    temporary folder becomes the session's checkpoint folder; on a cluster it
+    must be set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tallyhall-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -76,8 +85,10 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a stashed table that no later plan reads."""
-    jvm, path = df.sparkSession._jvm, df._stash_path
+    """Delete a stashed table that no later plan reads; any other table is left alone."""
+    jvm, path = df.sparkSession._jvm, getattr(df, "_stash_path", None)
+    if path is None:
+        return
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhall.llm.common import stash, texts_of, tuned
+from tallyhall.llm.common import discard, stash, texts_of, tuned
 from tallyhall.llm.tokens import WordEncoder, default_path
 
 CAPACITY = 4096
@@ -204,9 +204,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_
         home = F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(blocks)).alias("block")
         start = left.select(*cols, home, F.lit(0).alias("origin"), F.lit(-1).cast("long").alias("bin"), F.lit(0).cast("long").alias("crossovers"))
         todo = start.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
-        solved = []
+        solved, islands_ = [], []
         for turn in range(rounds):
             out = stash(todo.groupBy("block", "island").applyInPandas(_grouped(_island, capacity, turn), island_schema), "islands")
+            islands_.append(out)
             hit = F.col("bins") <= F.col("bound")
             least = out.groupBy("block").agg(F.min("bins").alias("least"))
             if turn == rounds - 1 or not (open_ := out.join(least, "block").filter(F.col("least") > F.col("bound"))).limit(1).count():
@@ -220,6 +221,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_
         for s in solved[1:]:
             every = every.unionByName(s)
         placed = stash(every.groupBy("block").applyInPandas(_grouped(_placed, capacity, level, blocks == 1), placed_schema), "placed")
+        for s in islands_:
+            discard(s)
         done.append(placed.filter(~F.col("released")).select(*cols, "sequence_id", "offset", "crossovers"))
         left, level = placed.filter("released").select(*cols), level + 1
     out = done[0]

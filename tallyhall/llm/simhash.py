@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhall.llm.common import stash, texts_of, tuned
+from tallyhall.llm.common import discard, stash, texts_of, tuned
 from tallyhall.llm.components import components
 
 SHINGLE = 3
@@ -168,7 +168,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFr
         return pd.DataFrame({"src": found[:, 0], "dst": found[:, 1]})
 
     far = pairs.groupBy("shard", "chunk", "other").applyInPandas(search, "src long, dst long")
-    return near.unionByName(far).distinct()
+    out = near.unionByName(far).distinct()
+    out._shards = many
+    return out
 
 
 def _search_shards(radius: int):
@@ -221,7 +223,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tuned(df.sparkSession)
     prints = stash(fingerprints(df, id_col, text_col), "fingerprints")
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(least.select("fp"), radius))
+    linked = links(least.select("fp"), radius)
+    found = components(linked)
+    discard(linked._shards)
     named = found.join(least.withColumnRenamed("fp", "node"), "node")
     roots = named.groupBy("component").agg(F.min("least").alias("root"))
     of = least.join(found.withColumnRenamed("node", "fp"), "fp", "left").join(roots, "component", "left")
