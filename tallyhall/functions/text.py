@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Patterns of an acknowledgement, a hash and a reference to code.
 ACK = r"(?im)(?:^|\s)ack(?:\s|$|[,:])"
 HASH = r"(?i)[a-f0-9]{7,40}"
 CODE_REFS = r"(?i)L\d+|line \d+|file:|\.(cpp|h|py|rs)"
@@ -16,6 +20,19 @@ def or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once a row, however often the body names it.
+
+    The variable of a lambda is a barrier that collapsing of projections doesn't undo.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def lowered(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a text in lower case (null: empty), lowered once."""
+    return let(F.lower(or_empty(c)), body)
+
+
 def clean(c: Column) -> Column:
     """Runs of white space become one space, control characters go, ends are trimmed; null gives ''."""
     spaced = F.regexp_replace(or_empty(c), r"(?U)\s+", " ")
@@ -37,8 +54,8 @@ def count_of(c: Column, literal: str) -> Column:
 
 
 def contains_any(c: Column, keywords: list[str]) -> Column:
-    """One pass of a quoted alternation: true if any keyword is a substring."""
-    return or_empty(c).rlike("|".join(re.escape(k) for k in keywords))
+    """True if any keyword is a substring; stops at the first that is."""
+    return let(or_empty(c), lambda t: reduce(or_, [t.contains(k) for k in dict.fromkeys(keywords)]))
 
 
 def hits(c: Column, keywords: list[str]) -> Column:
@@ -51,7 +68,7 @@ def hits(c: Column, keywords: list[str]) -> Column:
 
 def matching(c: Column, groups: dict[str, list[str]]) -> Column:
     """Names of the groups that have a keyword in the text, in their order."""
-    return F.array_compact(F.array(*[F.when(contains_any(c, ks), F.lit(name)) for name, ks in groups.items()]))
+    return let(or_empty(c), lambda t: F.array_compact(F.array(*[F.when(contains_any(t, ks), F.lit(name)) for name, ks in groups.items()])))
 
 
 def word_hits(c: Column, keywords: list[str]) -> Column:
@@ -100,6 +117,7 @@ def _lines(c: Column) -> Column:
     return F.split(or_empty(c), "\n")
 
 
+# Fixed value: lines that quote.
 QUOTED = r"^\s*>|^On .*wrote:|^-+ ?Original Message"
 
 

@@ -132,11 +132,11 @@ def review_depth(body: Column, inline: Column) -> Column:
 
 
 def topics(body: Column) -> Column:
-    return T.matching(F.lower(T.or_empty(body)), K.TOPICS)
+    return T.lowered(body, lambda b: T.matching(b, K.TOPICS))
 
 
 def themes(body: Column) -> Column:
-    return T.matching(F.lower(T.or_empty(body)), K.THEMES)
+    return T.lowered(body, lambda b: T.matching(b, K.THEMES))
 
 
 def is_rubber_stamp(state: Column, body: Column) -> Column:
@@ -146,25 +146,19 @@ def is_rubber_stamp(state: Column, body: Column) -> Column:
 
 
 def toxicity_score(body: Column) -> Column:
-    b = F.lower(T.or_empty(body))
-    return T.hits(b, K.NEGATIVE) + T.hits(b, K.HARSH) - T.hits(b, K.POLITE)
+    return T.lowered(body, lambda b: T.hits(b, K.NEGATIVE) + T.hits(b, K.HARSH) - T.hits(b, K.POLITE))
 
 
 def channel_sentiment(body: Column) -> Column:
-    b = F.lower(T.or_empty(body))
-    up, down = T.hits(b, K.CHANNEL_POSITIVE), T.hits(b, K.CHANNEL_NEGATIVE)
-    return F.when(up > down, "positive").when(down > up, "negative").otherwise("neutral")
+    lead = T.lowered(body, lambda b: T.hits(b, K.CHANNEL_POSITIVE) - T.hits(b, K.CHANNEL_NEGATIVE))
+    return T.let(lead, lambda n: F.when(n > 0, "positive").when(n < 0, "negative").otherwise("neutral"))
 
 
 def state_of_mind(body: Column) -> Column:
     """The class with most hits, the first of equals; null without any."""
-    b = F.lower(T.or_empty(body))
-    scores = {k: T.hits(b, ks) for k, ks in K.STATE_OF_MIND.items()}
-    best = F.greatest(*scores.values())
-    out = F.when(best == 0, None)
-    for k, s in scores.items():
-        out = out.when(s == best, k)
-    return out
+    names = F.array(*[F.lit(k) for k in K.STATE_OF_MIND])
+    scores = T.lowered(body, lambda b: F.array(*[T.hits(b, ks) for ks in K.STATE_OF_MIND.values()]))
+    return T.let(scores, lambda s: F.when(F.array_max(s) > 0, F.get(names, (F.array_position(s, F.array_max(s)) - 1).cast("int"))))
 
 
 def shift_type(before: Column, after: Column) -> Column:
@@ -174,15 +168,20 @@ def shift_type(before: Column, after: Column) -> Column:
 
 
 def pressure(body: Column) -> Column:
-    """struct(has_pressure, types, groups, score): groups of outside pressure with a hit."""
-    b = F.lower(T.or_empty(body))
-    types = F.array_compact(F.array(*[F.when(T.contains_any(b, [k for ks in groups.values() for k in ks]), F.lit(kind)) for kind, groups in K.PRESSURE.items()]))
+    """struct(has_pressure, types, groups, score): groups of outside pressure with a hit.
+
+    Each keyword is looked for once; groups, types and score follow from the groups' hits.
+    """
     named = {f"{kind}_{g}": ks for kind, groups in K.PRESSURE.items() for g, ks in groups.items()}
-    groups = T.matching(b, named)
-    score = F.lit(0)
-    for ks in named.values():
-        score = score + T.hits(b, ks)
-    return F.struct((F.size(groups) > 0).alias("has_pressure"), types.alias("types"), groups.alias("groups"), score.alias("score"))
+    at = {name: k for k, name in enumerate(named)}
+
+    def told(n: Column) -> Column:
+        groups = F.array_compact(F.array(*[F.when(n[k] > 0, F.lit(name)) for name, k in at.items()]))
+        score = F.aggregate(n, F.lit(0), lambda s, x: s + x)
+        types = F.array_compact(F.array(*[F.when(F.greatest(*[n[at[f"{kind}_{g}"]] for g in gs]) > 0, F.lit(kind)) for kind, gs in K.PRESSURE.items()]))
+        return F.struct((score > 0).alias("has_pressure"), types.alias("types"), groups.alias("groups"), score.alias("score"))
+
+    return T.let(T.lowered(body, lambda b: F.array(*[T.hits(b, ks) for ks in named.values()])), told)
 
 
 def funding_types(body: Column) -> Column:
@@ -201,7 +200,7 @@ def funding_amounts(body: Column) -> Column:
 
 
 def rejection_reasons(text: Column) -> Column:
-    return T.matching(F.lower(T.or_empty(text)), K.REJECTION)
+    return T.lowered(text, lambda b: T.matching(b, K.REJECTION))
 
 
 def contribution_quality(changes: Column, files: Column, body: Column, reviews: Column, comments: Column, merged: Column) -> Column:

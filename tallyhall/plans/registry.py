@@ -27,3 +27,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over all cores where the files can't be split as far as that.
+
+    A file of few row groups is read by as few tasks; work that costs far more
+    than a shuffle of its rows then waits for them. Tables of many splits, as
+    all large ones, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df

@@ -10,7 +10,7 @@ from tallyhall.functions import text as T
 from tallyhall.functions.numbers import r6, ratio
 from tallyhall.operators import classify as C
 from tallyhall.operators import windows as W
-from tallyhall.plans.registry import query, table
+from tallyhall.plans.registry import query, spread, table
 
 _WS = "[ \\t\\n\\r\\x0B\\f]+"
 
@@ -24,7 +24,7 @@ def _sql_hits(column: str, keywords: list[str]) -> str:
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def _talk(spark, d):
