@@ -199,6 +199,10 @@ def funding_amounts(body: Column) -> Column:
     return F.regexp_extract_all(T.or_empty(body), F.lit(r"(\$\s?\d[\d,.]*\s?(?:[kKmM]|million|thousand)?)"), 1)
 
 
+def rejected(state: Column, merged: Column) -> Column:
+    return F.coalesce((state == "closed") & ~merged, F.lit(False))
+
+
 def rejection_reasons(text: Column) -> Column:
     return T.lowered(text, lambda b: T.matching(b, K.REJECTION))
 
