@@ -233,6 +233,27 @@ def nack_type(body: Column) -> Column:
     return F.when(b.contains("concept nack"), "concept").when(b.contains("approach nack"), "approach").when(b.contains("utack nack"), "utack").otherwise("general")
 
 
+def chat_review_score(message: Column, by_maintainer: Column) -> Column:
+    """Score of a chat message as a review, by who says it, its words and its length."""
+    def told(b: Column) -> Column:
+        high, n = T.contains_any(b, K.MESSAGE_REVIEW["high"]), F.length(b)
+        strong = F.when(n > 100, 1.0).when(n > 50, 0.8).otherwise(0.7)
+        return F.when(by_maintainer & high, strong).when(by_maintainer | high, F.when(n > 50, 0.6).otherwise(0.5)).when(T.contains_any(b, K.MESSAGE_REVIEW["medium"]), 0.3).otherwise(0.2)
+
+    return T.lowered(message, told)
+
+
+def mail_review_score(subject: Column, body: Column) -> Column:
+    """Score of a mail as a review, by its words and the length of its body."""
+    n = F.length(T.or_empty(body))
+
+    def told(b: Column) -> Column:
+        long = F.when(n > 200, 1.0).when(n > 100, 0.8).otherwise(0.7)
+        return F.when(T.contains_any(b, K.MESSAGE_REVIEW["high"]), long).when(T.contains_any(b, K.MESSAGE_REVIEW["medium"]), F.when(n > 100, 0.6).otherwise(0.5)).otherwise(0.3)
+
+    return T.lowered(F.concat_ws(" ", T.or_empty(body), T.or_empty(subject)), told)
+
+
 def gini_words(gini: Column) -> Column:
     out = None
     for least, words in K.GINI_WORDS:

@@ -64,3 +64,29 @@ def concentration(counts: DataFrame, by: list[str] | None = None, value: str = "
         *[F.round(c, digits).alias(f"top{t}_share") for t, c in shares.items()],
         level(gini, hhi, shares[5]).alias("level"),
     )
+
+
+def gini_forms(counts: DataFrame, by: list[str] | None = None, value: str = "x") -> DataFrame:
+    """Other published forms of the coefficient, none of them clamped, and top-1/3/5/10 shares.
+
+    ``gini_zeros`` keeps actors without any share, ``gini_positive`` drops them;
+    ``gini_descending`` weights the largest first (1 - 2 * sum(i * x) / (n * S));
+    ``gini_flipped`` feeds descending values to the ascending formula.
+    """
+    by = by or []
+    runs = counts.groupBy(*by, F.col(value).alias("_x")).agg(F.count("*").alias("_m"))
+    up = Window.partitionBy(*by).orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*by).orderBy(F.desc("_x")).rowsBetween(Window.unboundedPreceding, -1)
+    r = runs.withColumns({"_b": F.coalesce(F.sum("_m").over(up), F.lit(0)), "_a": F.coalesce(F.sum("_m").over(down), F.lit(0)), "_z": F.col("_x") <= 0})
+    v, m = F.col("_x").cast("double"), F.col("_m")
+    tops = [F.sum(v * F.least(m, F.greatest(F.lit(0), F.lit(k) - F.col("_a")))).alias(f"_t{k}") for k in (1, 3, 5, 10)]
+    s = r.groupBy(*by).agg(F.sum("_m").alias("n"), F.sum(F.when(F.col("_z"), m).otherwise(0)).alias("_none"), F.sum(v * m).alias("s"), F.sum(v * (m * F.col("_b") + m * (m + 1) / 2)).alias("_up"), F.sum(v * (m * F.col("_a") + m * (m + 1) / 2)).alias("_down"), *tops)
+    n, total = F.col("n"), F.col("s")
+    kept = n - F.col("_none")
+    # Without the zeros every rank is less by their number.
+    positive = (2 * (F.col("_up") - F.col("_none") * total) - (kept + 1) * total) / (kept * total)
+    return s.select(
+        *by, n.alias("actors"), F.round((2 * F.col("_up")) / (n * total) - (n + 1) / n, 6).alias("gini_zeros"), F.round(positive, 6).alias("gini_positive"),
+        F.round(1 - 2 * F.col("_down") / (n * total), 6).alias("gini_descending"), F.round((2 * F.col("_down")) / (n * total) - (n + 1) / n, 6).alias("gini_flipped"),
+        *[F.round(F.col(f"_t{k}") / total, 6).alias(f"top{k}_share") for k in (1, 3, 5, 10)],
+    )

@@ -101,3 +101,18 @@ def release_parts(releases: DataFrame, commits: DataFrame, changes: DataFrame) -
     upcoming = Window.orderBy("date", "o", "tag").rowsBetween(0, Window.unboundedFollowing)
     named = tags.unionByName(parts).withColumn("tag", F.first("tag", ignorenulls=True).over(upcoming)).filter("number IS NOT NULL AND tag IS NOT NULL").select("tag", "number").distinct()
     return named.join(changes.select("number", F.substring("title", 1, 100).alias("title"), "merged"), "number", "left").select("tag", "number", "title", "merged")
+
+
+def roster(lines: DataFrame, line: str = "line", value: str = "value") -> DataFrame:
+    """``category, username, email`` of a list of maintainers; a header holds for the lines after it.
+
+    Lines that are all capitals or have no colon are headers; blank lines and
+    those that start with # say nothing; a person has a mail address or a user.
+    """
+    v = F.trim(value)
+    header = ((F.upper(v) == v) & (F.lower(v) != v)) | ~v.contains(":")
+    kept = lines.filter((v != "") & ~v.startswith("#")).withColumn("_head", F.when(header, v))
+    carried = F.last("_head", ignorenulls=True).over(Window.orderBy(line).rowsBetween(Window.unboundedPreceding, 0))
+    people = kept.withColumn("category", carried).filter(F.col("_head").isNull() & F.col(value).contains("@"))
+    user, mail = F.lower(F.regexp_extract(v, r"\(@([\w-]+)\)", 1)), F.regexp_extract(v, "<([^>]+)>", 1)
+    return people.select("category", F.nullif(user, F.lit("")).alias("username"), F.nullif(mail, F.lit("")).alias("email"))

@@ -71,6 +71,10 @@ def rows(name: str) -> list[tuple]:
     elif name == "comments":
         for k in range(230):
             out.append((r.randint(1001, 1110), k, r.choice([who(), who(), ""]), r.choice([pick(), pick(), None]), _iso(_day(r))))
+        # People of few words, in two periods.
+        for k, (p, early, late) in enumerate([("olga", 5, 5), ("peggy", 32, 5), ("quinn", 24, 32), ("rupert", 28, 24), ("sybil", 5, 28), ("trent", 33, 34), ("victor", 32, 32), ("walter", 34, 33)]):
+            out += [(1001 + k, 500 + 2 * k, p, TEXTS[early], "2015-01-01T00:00:00"), (1001 + k, 501 + 2 * k, p, TEXTS[late], "2020-01-01T00:00:00")]
+        out += [(1001, 600, "yara", "ends strongly", "2015-01-01T00:00:00"), (1001, 601, "yara", "oppose", "2015-01-02T00:00:00")]
     elif name == "issues":
         for k in range(60):
             out.append((2001 + k, who(), pick(), r.choice([pick(), None]), r.choice(["open", "closed"]), _iso(_day(r))))
