@@ -62,7 +62,7 @@ def report_errors(spark, d):
 @query("name_matches", "SELECT n_name, count(*) AS n FROM nation JOIN region ON contains(lower(n_name), lower(substring(r_name, 1, 1))) GROUP BY 1")
 def name_matches(spark, d):
     """Substring match of a small dimension against another (JOIN15, JOIN16, IDR5)."""
-    n, r = table(spark, d, "nation"), table(spark, d, "region").limit(100)
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
     return n.join(F.broadcast(r), F.contains(F.lower("n_name"), F.lower(F.substring("r_name", 1, 1)))).groupBy("n_name").agg(F.count("*").alias("n"))
 
 

@@ -219,17 +219,8 @@ def year_sum_check(spark, d):
     return years.agg(F.sum("n").alias("by_year")).crossJoin(o.agg(F.count("*").alias("total"))).withColumn("consistent", F.col("by_year") == F.col("total"))
 
 
-@query("attribution_coverage", "SELECT o_orderstatus, round(count(s_suppkey) / CAST(count(*) AS DOUBLE), 6) AS coverage, count(s_suppkey) / CAST(count(*) AS DOUBLE) BETWEEN 0.0 AND 0.35 AS in_band FROM orders LEFT JOIN supplier ON s_suppkey = o_orderkey % 1000 GROUP BY 1")
+@query("attribution_coverage", "SELECT o_orderstatus, round(count(s_suppkey) / CAST(count(*) AS DOUBLE), 6) AS coverage, count(s_suppkey) / CAST(count(*) AS DOUBLE) BETWEEN 0.0 AND 0.35 AS in_band FROM orders LEFT JOIN supplier ON s_suppkey = o_orderkey % (SELECT 10 * (max(s_suppkey) + 1) FROM supplier) GROUP BY 1")
 def attribution_coverage(spark, d):
-    """Share of changes with a known merger, against a band (DQ21, DQ22)."""
-    o, s = table(spark, d, "orders").withColumn("k", F.col("o_orderkey") % 1000), table(spark, d, "supplier").select("s_suppkey")
-    j = o.join(s, F.col("k") == F.col("s_suppkey"), "left")
-    share = ratio(F.count("s_suppkey"), F.count("*"))
-    return j.groupBy("o_orderstatus").agg(r6(share).alias("coverage"), Q.within(share, 0.0, 0.35).alias("in_band"))
-
-
-@query("attribution_coverage_all", "SELECT o_orderstatus, round(count(s_suppkey) / CAST(count(*) AS DOUBLE), 6) AS coverage, count(s_suppkey) / CAST(count(*) AS DOUBLE) BETWEEN 0.0 AND 0.35 AS in_band FROM orders LEFT JOIN supplier ON s_suppkey = o_orderkey % (SELECT 10 * (max(s_suppkey) + 1) FROM supplier) GROUP BY 1")
-def attribution_coverage_all(spark, d):
     """Share of changes with a known merger among all suppliers; one key in ten is known (DQ21, DQ22)."""
     s = table(spark, d, "supplier").select("s_suppkey")
     o = table(spark, d, "orders").crossJoin(s.agg((10 * (F.max("s_suppkey") + 1)).alias("size"))).withColumn("k", F.col("o_orderkey") % F.col("size"))
@@ -237,13 +228,6 @@ def attribution_coverage_all(spark, d):
     return o.join(s, F.col("k") == F.col("s_suppkey"), "left").groupBy("o_orderstatus").agg(r6(share).alias("coverage"), Q.within(share, 0.0, 0.35).alias("in_band"))
 
 
-@query("quality_status", "WITH i AS (SELECT count(*) FILTER (WHERE o_totalprice > 400000) % 7 AS k, o_orderpriority FROM orders GROUP BY 2) SELECT o_orderpriority, CAST(k AS BIGINT) AS issues, CASE WHEN k = 0 THEN 'excellent' WHEN k <= 2 THEN 'good' WHEN k <= 4 THEN 'fair' ELSE 'poor' END AS status FROM i")
-def quality_status(spark, d):
-    """Status words by number of issues (DQ9, DQ17, DQ20)."""
-    i = table(spark, d, "orders").groupBy("o_orderpriority").agg((F.count_if(F.col("o_totalprice") > 400000) % 7).alias("issues"))
-    return i.withColumn("status", Q.status(F.col("issues")))
-
-
 @query("importance_trend", "WITH y AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS y, avg(o_totalprice) AS v FROM orders GROUP BY 1), s AS (SELECT *, row_number() OVER (ORDER BY y) u, row_number() OVER (ORDER BY y DESC) w FROM y), a AS (SELECT avg(v) FILTER (WHERE u <= 3) e, avg(v) FILTER (WHERE w <= 3) r FROM s) SELECT round(e, 4) AS early, round(r, 4) AS recent, CASE WHEN (r - e) / e * 100 > 10 THEN 'increasing' WHEN (r - e) / e * 100 < -10 THEN 'decreasing' ELSE 'stable' END AS direction FROM a")
 def importance_trend(spark, d):
     """Trend of mean size per year (QRY59, QRY101, QRY102, WIN16)."""

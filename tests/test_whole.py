@@ -65,7 +65,7 @@ def test_eigenvector_reads_all_reviews(spark, review_edges):
     assert np.allclose([got[v] for v in nodes], x, atol=2e-6)
 
 
-@pytest.mark.parametrize("name", ["pagerank_all_reviews", "clustering_all_reviews"])
+@pytest.mark.parametrize("name", ["pagerank", "clustering"])
 def test_whole_graph_is_read(spark, review_edges, name):
     assert {r.node for r in QUERIES[name](spark, SF).collect()} == {x for e in review_edges for x in e[:2]}
 
@@ -74,22 +74,22 @@ def test_whole_texts_are_read(spark, tmp_path):
     long = "neutral words that go on and on and on for a while "
     rows = [(1, long + "consensus vulnerability", 400), (2, long + "nothing", 400)]
     spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.importance: r.n for r in QUERIES["text_importance_whole"](spark, str(tmp_path)).collect()}
+    got = {r.importance: r.n for r in QUERIES["text_importance"](spark, str(tmp_path)).collect()}
     assert got == {"critical": 1, "low": 1}
     turns = [("user", "I went back over it. " + long), ("user", "a few words, and then at the end: lgtm"), ("user", "ok")]
     spark.createDataFrame(turns, "role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    assert QUERIES["rubber_stamps_whole"](spark, str(tmp_path)).first().stamps == 2
+    assert QUERIES["rubber_stamps"](spark, str(tmp_path)).first().stamps == 2
 
 
 def test_all_tests_are_adjusted(spark):
     n = spark.read.parquet(f"{SF}/part.parquet").count()
-    assert n > 50 and QUERIES["bh_adjust_all"](spark, SF).count() == n
+    assert n > 50 and QUERIES["bh_adjust"](spark, SF).count() == n
 
 
 def test_keys_cover_the_dimension(spark, tmp_path):
     spark.range(4000).selectExpr("id AS c_custkey", "CAST(id >= 1500 AS INT) AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
     spark.range(4000).selectExpr("id AS event_id", "7 AS user_id").write.parquet(f"{tmp_path}/events.parquet")
-    assert {(r.nick, r.author, r.n) for r in QUERIES["co_mentions_all"](spark, str(tmp_path)).collect()} == {("7", "0", 1500), ("7", "1", 2500)}
+    assert {(r.nick, r.author, r.n) for r in QUERIES["co_mentions"](spark, str(tmp_path)).collect()} == {("7", "0", 1500), ("7", "1", 2500)}
     spark.range(2000).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
     spark.range(20000).selectExpr("id AS o_orderkey", "IF(id BETWEEN 1000 AND 1999, 'F', 'O') AS o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
-    assert {r.o_orderstatus: r.coverage for r in QUERIES["attribution_coverage_all"](spark, str(tmp_path)).collect()} == {"F": 1.0, "O": round(1000 / 19000, 6)}
+    assert {r.o_orderstatus: r.coverage for r in QUERIES["attribution_coverage"](spark, str(tmp_path)).collect()} == {"F": 1.0, "O": round(1000 / 19000, 6)}
