@@ -15,19 +15,28 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def chi_square(cells: DataFrame, yates: bool = True) -> DataFrame:
-    """chi2, dof and Cramer's V of a table of cells (a, b, n); absent cells count as 0.
+    """chi2, dof, n and Cramer's V of a table of cells (a, b, n); absent cells count as 0.
 
-    The table of distinct values is small; its marginals are windows over it.
+    chi2 = N * (sum of n^2 / (row * column) - 1) needs no absent cell. In a 2 x 2
+    table all four deviations are equal, so one cell gives the correction.
     """
     a, b = cells.groupBy("a").agg(F.sum("n").alias("ra")), cells.groupBy("b").agg(F.sum("n").alias("rb"))
-    full = a.crossJoin(F.broadcast(b)).join(cells, ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    every = Window.partitionBy(F.lit(1))
-    t = full.withColumns({"total": F.sum("n").over(every), "rows": F.size(F.collect_set("a").over(every)), "cols": F.size(F.collect_set("b").over(every))})
-    e = F.col("ra") * F.col("rb") / F.col("total")
-    diff = F.abs(F.col("n") - e)
-    corrected = F.when((F.col("rows") == 2) & (F.col("cols") == 2) & F.lit(yates), diff - F.least(F.lit(0.5), diff)).otherwise(diff)
-    least = F.least(F.max("rows"), F.max("cols"))
-    out = t.agg(F.sum(corrected * corrected / e).alias("chi2"), ((F.max("rows") - 1) * (F.max("cols") - 1)).alias("dof"), F.max("total").alias("n"), least.alias("_m"))
+    t = cells.join(a, "a").join(b, "b")
+    names = ("s", "n", "one", "rows", "ia", "cols", "ib")
+    kinds = {"s": "double", "n": "long", "one": "struct<n:bigint,ra:bigint,rb:bigint>", "rows": "long", "ia": "double", "cols": "long", "ib": "double"}
+
+    def part(df: DataFrame, **found: Column) -> DataFrame:
+        return df.agg(*[found.get(c, F.max(F.lit(None))).cast(kinds[c]).alias(c) for c in names])
+
+    n = F.col("n").cast("double")
+    every = part(t, s=F.sum(n * n / (F.col("ra") * F.col("rb"))), n=F.sum("n"), one=F.min(F.struct("n", "ra", "rb"))).unionByName(part(a, rows=F.count("*"), ia=F.sum(1 / F.col("ra")))).unionByName(part(b, cols=F.count("*"), ib=F.sum(1 / F.col("rb"))))
+    m = every.agg(*[F.max(c).alias(c) for c in names])  # three rows into one
+    off = F.abs(F.col("one.n") - F.col("one.ra") * F.col("one.rb") / F.col("n"))
+    corrected = F.pow(F.greatest(off - 0.5, F.lit(0.0)), 2) * F.col("n") * F.col("ia") * F.col("ib")
+    plain = F.greatest(F.col("n") * (F.col("s") - 1), F.lit(0.0))
+    two = (F.col("rows") == 2) & (F.col("cols") == 2) & F.lit(yates)
+    least = F.least("rows", "cols")
+    out = m.select(F.when(two, corrected).otherwise(plain).alias("chi2"), ((F.col("rows") - 1) * (F.col("cols") - 1)).alias("dof"), "n", least.alias("_m"))
     return out.withColumn("cramers_v", F.when(F.col("_m") > 1, F.sqrt(F.col("chi2") / (F.col("n") * (F.col("_m") - 1)))).otherwise(F.lit(0.0))).drop("_m")
 
 
@@ -96,14 +105,36 @@ def t_p(t: float, dof: float) -> float:
     return front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b
 
 
+def accumulated(df: DataFrame, key: str, value: str, how=F.sum, descending: bool = False, inclusive: bool = True, buckets: int = 64) -> DataFrame:
+    """Adds ``_run``: ``how`` (sum, min, max) of ``value`` over all rows up to this one's key.
+
+    Rows are dealt into buckets by quantiles of the key, so no task orders all
+    of them: a bucket is accumulated by itself and takes on what the buckets
+    before it make, one row for each. ``key`` must be unique and numeric.
+    """
+    cuts = df.agg(F.percentile_approx(key, [k / buckets for k in range(1, buckets)], 10_000)).first()[0] or []
+    bounds = F.array(*[F.lit(float(x)) for x in sorted(set(cuts))]).cast("array<double>")
+    marked = df.withColumn("_bucket", F.size(F.filter(bounds, lambda x: x < F.col(key))))
+    per = marked.groupBy("_bucket").agg(how(value).alias("_v"))
+    side = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+    before = how("_v").over(Window.orderBy(side("_bucket")).rowsBetween(Window.unboundedPreceding, -1))
+    earlier = per.select("_bucket", before.alias("_earlier"))  # at most as many rows as buckets
+    own = how(value).over(Window.partitionBy("_bucket").orderBy(side(key)).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+    out = marked.join(F.broadcast(earlier), "_bucket").withColumn("_own", own)
+    both = F.when(F.col("_own").isNull(), F.col("_earlier")).when(F.col("_earlier").isNull(), F.col("_own"))
+    joined = {F.sum: F.col("_own") + F.col("_earlier"), F.min: F.least("_own", "_earlier"), F.max: F.greatest("_own", "_earlier")}[how]
+    return out.withColumn("_run", both.otherwise(joined)).drop("_bucket", "_earlier", "_own")
+
+
 def mann_whitney(df: DataFrame, group: Column, value: str) -> DataFrame:
     """U of group 1, z and rank-biserial correlation, ties at their mean rank.
 
     Ranks come from counts per distinct value, not from a sort of all rows.
     """
     per = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("x")).agg(F.count_if(group).cast("double").alias("a"), F.count("*").cast("double").alias("t"))
-    below = F.coalesce(F.sum("t").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    s = per.withColumn("rank", below + (F.col("t") + 1) / 2).agg(F.sum(F.col("a") * F.col("rank")).alias("r1"), F.sum("a").alias("n1"), F.sum(F.col("t") - F.col("a")).alias("n2"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
+    ranked = accumulated(per, "x", "t", inclusive=False)
+    rank = F.coalesce("_run", F.lit(0.0)) + (F.col("t") + 1) / 2
+    s = ranked.withColumn("rank", rank).agg(F.sum(F.col("a") * F.col("rank")).alias("r1"), F.sum("a").alias("n1"), F.sum(F.col("t") - F.col("a")).alias("n2"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
     n1, n2 = F.col("n1"), F.col("n2")
     n, u = n1 + n2, F.col("r1") - n1 * (n1 + 1) / 2
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
@@ -116,17 +147,18 @@ def adjust(df: DataFrame, p: str, method: str = "fdr_bh") -> DataFrame:
     Ranks come from counts per distinct value, not from a sort of all rows;
     tests of one p-value share the adjusted one. Null p-values aren't counted.
     """
-    per = df.filter(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_t"))
-    up = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    r = per.withColumns({"_r": F.sum("_t").over(up), "_m": F.sum("_t").over(Window.partitionBy(F.lit(1)))})
+    tests = df.filter(F.col(p).isNotNull())
+    m = tests.count()
+    per = tests.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_t"))
+    r = accumulated(per, "_p", "_t").withColumnRenamed("_run", "_r")
     v = F.col("_p")
     if method == "bonferroni":
-        adjusted = v * F.col("_m")
+        r = r.withColumn("_run", v * m)
     elif method == "holm":
-        adjusted = F.max(v * (F.col("_m") - F.col("_r") + F.col("_t"))).over(up)
+        r = accumulated(r.withColumn("_v", v * (m - F.col("_r") + F.col("_t"))), "_p", "_v", F.max)
     else:
-        adjusted = F.min(v * F.col("_m") / F.col("_r")).over(Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0))
-    r = r.select("_p", F.least(F.lit(1.0), adjusted).alias("p_adjusted"))
+        r = accumulated(r.withColumn("_v", v * m / F.col("_r")), "_p", "_v", F.min, descending=True)
+    r = r.select("_p", F.least(F.lit(1.0), F.col("_run")).alias("p_adjusted"))
     return df.join(r, F.col(p) == F.col("_p"), "left").drop("_p")
 
 
@@ -145,12 +177,28 @@ def sweep(df: DataFrame, params: DataFrame, by: list[str], hit: Column) -> DataF
     return df.crossJoin(F.broadcast(params)).groupBy(*by).agg(F.count("*").alias("n"), F.count_if(hit).alias("hits")).withColumn("rate", ratio(F.col("hits"), F.col("n")))
 
 
-def logistic_regression(df: DataFrame, features: list[str], label: str, c: float = 1.0, iterations: int = 100):
-    """Coefficients with an L2 penalty, trained by Spark ML; returns (names, coefficients, intercept)."""
+def logistic_regression(df: DataFrame, features: list[str], label: str, c: float = 1.0, iterations: int = 100) -> DataFrame:
+    """``feature, coefficient, z, p_value, odds_ratio, intercept`` with an L2 penalty, trained by Spark ML.
+
+    Rows with a null are left out. As in common use of this test, standard
+    errors come from the inverse of X'X, which one aggregation makes: its size
+    is that of the features squared.
+    """
+    import numpy as np
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    n = df.count()
-    rows = VectorAssembler(inputCols=features, outputCol="_x").transform(df).select("_x", F.col(label).cast("double").alias("_y"))
-    m = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1.0 / (c * max(1, n)), maxIter=iterations, standardization=False).fit(rows)
-    return features, list(m.coefficients), m.intercept
+    rows = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("_y")).dropna()
+    pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
+    got = rows.agg(F.count("*").alias("n"), *[F.sum(F.col(features[i]) * F.col(features[j])).alias(f"_{i}_{j}") for i, j in pairs]).first()
+    assembled = VectorAssembler(inputCols=features, outputCol="_x").transform(rows)
+    m = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1.0 / (c * max(1, got.n)), maxIter=iterations, standardization=False).fit(assembled)
+    xx = np.zeros((len(features), len(features)))
+    for i, j in pairs:
+        xx[i, j] = xx[j, i] = got[f"_{i}_{j}"] or 0.0
+    error = np.sqrt(np.clip(np.diag(np.linalg.pinv(xx)), 1e-300, None))
+    out = []
+    for f, b, e in zip(features, m.coefficients, error, strict=True):
+        z = float(b) / float(e)
+        out.append((f, float(b), z, math.erfc(abs(z) / math.sqrt(2)), math.exp(float(b)), float(m.intercept)))
+    return df.sparkSession.createDataFrame(out, "feature string, coefficient double, z double, p_value double, odds_ratio double, intercept double")

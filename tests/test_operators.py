@@ -153,3 +153,68 @@ def test_quality(spark):
 def test_identity_mapping(spark):
     df = spark.createDataFrame([({"u1": {"hub": ["Ann"], "chat": ["ann_"]}, "u2": {"hub": ["ann"]}},)], "m map<string,map<string,array<string>>>")
     assert {r.id: r.unified for r in I.flatten_mapping(df, "m").collect()} == {"ann": "u2", "ann_": "u1"}
+
+
+def test_chi_square_equals_the_full_table(spark):
+    for rows, yates in (([("a", "x", 10), ("a", "y", 20), ("b", "x", 30)], True), ([("a", "x", 3), ("b", "y", 4)], True), ([("a", "x", 5), ("a", "y", 9), ("b", "z", 7), ("c", "x", 2)], True), ([("a", "x", 10), ("a", "y", 20), ("b", "x", 30), ("b", "y", 5)], False)):
+        from tallyhall.operators import stats
+
+        got = stats.chi_square(spark.createDataFrame(rows, "a string, b string, n long"), yates).first()
+        ka, kb = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+        n = {(x, y): sum(r[2] for r in rows if r[:2] == (x, y)) for x in ka for y in kb}
+        total, chi = sum(n.values()), 0.0
+        for x in ka:
+            for y in kb:
+                e = sum(n[x, z] for z in kb) * sum(n[z, y] for z in ka) / total
+                off = abs(n[x, y] - e)
+                chi += (max(off - 0.5, 0) if yates and len(ka) == len(kb) == 2 else off) ** 2 / e
+        assert abs(got.chi2 - chi) < 1e-9 and got.dof == (len(ka) - 1) * (len(kb) - 1) and got.n == total
+
+
+def test_ranks_do_not_need_one_task(spark):
+    import random
+
+    from tallyhall.operators import stats
+
+    r = random.Random(8)
+    rows = [(r.randint(0, 500) / 7, r.random() < 0.4) for _ in range(3000)]
+    got = stats.mann_whitney(spark.createDataFrame(rows, "x double, g boolean"), __import__("pyspark.sql.functions", fromlist=["col"]).col("g"), "x").first()
+    a, b = [x for x, g in rows if g], [x for x, g in rows if not g]
+    assert got.u == sum((x > y) + 0.5 * (x == y) for x in a for y in b) and (got.n1, got.n2) == (len(a), len(b))
+    ps = [(k, round(r.random(), 2)) for k in range(400)] + [(999, None)]
+    df = spark.createDataFrame(ps, "k int, p double")
+    known = sorted((p, k) for k, p in ps if p is not None)
+    m = len(known)
+    bh, best = {}, 1.0
+    for i in range(m, 0, -1):
+        best = min(best, known[i - 1][0] * m / i)
+        bh[known[i - 1][1]] = best
+    low = {}
+    for p, k in known:  # tests of one p-value share the least of theirs
+        low[p] = min(low.get(p, 2.0), bh[k])
+    out = {x.k: x.p_adjusted for x in stats.adjust(df, "p").collect()}
+    assert out[999] is None and all(abs(out[k] - low[p]) < 1e-12 for p, k in known)
+    holm, most = {}, 0.0
+    for i, (p, k) in enumerate(known):
+        most = max(most, p * (m - i))
+        holm[k] = min(1.0, most)
+    high = {}
+    for p, k in known:
+        high[p] = max(high.get(p, 0.0), holm[k])
+    out = {x.k: x.p_adjusted for x in stats.adjust(df, "p", "holm").collect()}
+    assert all(abs(out[k] - high[p]) < 1e-12 for p, k in known)
+
+
+def test_logistic_regression_gives_wald_tests(spark):
+    import random
+
+    from tallyhall.operators import stats
+
+    r = random.Random(3)
+    rows = []
+    for _ in range(1500):
+        x, z = r.gauss(0, 1), r.gauss(0, 1)
+        rows.append((x, z, int(r.random() < 1 / (1 + 2.718281828 ** (-1.5 * x)))))
+    out = {x.feature: x for x in stats.logistic_regression(spark.createDataFrame([*rows, (None, 1.0, 1)], "x double, z double, y int"), ["x", "z"], "y").collect()}
+    assert 1.2 < out["x"].coefficient < 1.8 and out["x"].p_value < 1e-6 and abs(out["z"].coefficient) < 0.25
+    assert abs(out["x"].odds_ratio - 2.718281828 ** out["x"].coefficient) < 1e-6
