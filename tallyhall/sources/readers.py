@@ -29,6 +29,26 @@ def read_json_document(spark: SparkSession, path: str, schema: str) -> DataFrame
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def lookup(df: DataFrame, key: str, value, order: list | None = None) -> DataFrame:
+    """The first row of a key, none if it is absent (SRC3)."""
+    return df.filter(F.col(key) == value).orderBy(*(order or df.columns)).limit(1)
+
+
+def count_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``source, lines`` of text files (SRC24)."""
+    return spark.read.text(path).groupBy(F.input_file_name().alias("source")).agg(F.count("*").alias("lines"))
+
+
+def change_fields(changes: DataFrame) -> DataFrame:
+    """Derived columns of extracted changes: whole days to merge and to close, totals of their arrays (SRC19, SRC20)."""
+    from tallyhall.functions import dates as D
+
+    days = lambda end: D.whole_days(D.parse(F.col("created_at")), D.parse(F.col(end)))
+    n = lambda c: F.coalesce(F.nullif(F.size(c), F.lit(-1)), F.lit(0))
+    total = lambda f: F.coalesce(F.aggregate(F.transform("files", lambda x: F.coalesce(x[f], F.lit(0))), F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0))
+    return changes.withColumns({"time_to_merge_days": days("merged_at"), "time_to_close_days": days("closed_at"), "total_comments": n("comments"), "total_reviews": n("reviews"), "total_files_changed": n("files"), "total_additions": total("additions"), "total_deletions": total("deletions")})
+
+
 def read_mbox(spark: SparkSession, path: str) -> DataFrame:
     """``source, seq, message`` of mail archives, plain or gzip, cut at lines that start with 'From ' (SRC12, SRC13)."""
     whole = spark.read.text(path, wholetext=True).withColumn("source", F.input_file_name())
@@ -136,10 +156,11 @@ def read_proposals(spark: SparkSession, path: str) -> DataFrame:
     return f.withColumns({"number": F.regexp_extract("filename", r"(\d+)", 1).try_cast("int"), **fields, "content_length": F.length(c)}).filter(F.col("number").isNotNull()).withColumnRenamed("value", "content")
 
 
-def read_archive(spark: SparkSession, path: str, limit: int = 100_000) -> DataFrame:
-    """Archive texts: content up to a limit, digest, optional mail headers and the first ten addresses (SRC18)."""
+def read_archive(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Archive texts: whole content (or up to ``limit`` characters), digest, optional mail headers and the first ten addresses (SRC18)."""
     f = spark.read.format("binaryFile").load(path)
-    text = F.substring(F.make_valid_utf8(F.col("content").cast("string")), 1, limit)
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    text = text if limit is None else F.substring(text, 1, limit)
     return f.select("path", F.sha2("content", 256).alias("sha256"), text.alias("content")).withColumns({"from": X.header(F.col("content"), "From"), "subject": X.header(F.col("content"), "Subject"), "date": X.header(F.col("content"), "Date"), "sources": F.slice(F.regexp_extract_all("content", F.lit(r"(https?://[^\s)>\"']+)"), 1), 1, 10)})
 
 
@@ -175,6 +196,50 @@ def write_records(df: DataFrame, path: str, mode: str = "overwrite", form: str =
     df.write.mode(mode).format(form).save(path)
 
 
+def write_sample(df: DataFrame, path: str, n: int = 10, order: list | None = None, form: str = "json") -> None:
+    """The first ``n`` rows of a table, in an order, as a small file (SRC25)."""
+    df.orderBy(*(order or df.columns)).limit(n).coalesce(1).write.mode("overwrite").format(form).save(path)
+
+
+def snapshot(df: DataFrame, path: str, name: str, as_of: str, versions: DataFrame | None = None) -> DataFrame:
+    """A version record of a table: digest over all rows, number of rows and version (DQ11).
+
+    The digest is a sum of row hashes, so it doesn't depend on order or files; a
+    table whose digest is the last one's gets no new version.
+    """
+    spark = df.sparkSession
+    row = F.xxhash64(*df.columns).cast("decimal(38,0)")
+    now = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(row), F.lit(0).cast("decimal(38,0)")).cast("string").alias("digest")).first()
+    known = versions.filter(F.col("name") == name).orderBy(F.desc("version")).limit(1).collect() if versions is not None else []
+    if known and known[0].digest == now.digest:
+        return versions
+    record = spark.createDataFrame([(name, (known[0].version if known else 0) + 1, now.rows, now.digest, path, as_of)], "name string, version int, rows long, digest string, path string, as_of string")
+    return record if versions is None else versions.unionByName(record)
+
+
+def resume(keys: DataFrame, path: str, key: str, work, schema: str, batch: int = 1000) -> DataFrame:
+    """Work on every key once, in batches whose results are kept: a run that stops goes on where it was (DQ12).
+
+    ``work`` maps a table of keys to a table of ``schema``. Each batch is
+    appended to ``path`` as a whole; keys found there are skipped.
+    """
+    spark = keys.sparkSession
+
+    def done() -> DataFrame:
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except Exception as e:  # noqa: BLE001
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return spark.createDataFrame([], schema)
+
+    while True:
+        left = keys.select(key).distinct().join(done().select(key).distinct(), key, "left_anti").orderBy(key).limit(batch).collect()  # at most a batch
+        if not left:
+            return done()
+        work(spark.createDataFrame(left, keys.select(key).schema)).write.mode("append").parquet(path)
+
+
 def append_new(df: DataFrame, path: str, key: str, form: str = "parquet") -> None:
     """Append rows whose key isn't stored yet (SRC27)."""
     stored = df.sparkSession.read.format(form).load(path)

@@ -65,3 +65,79 @@ def test_streams(spark, tmp_path):
     q = A.run_to_table(A.counts_per_window(s, "ts", "event_type", late="60 days"), "w", str(tmp_path / "c"))
     q.awaitTermination(60)
     assert spark.table("w").agg(F.sum("n")).first()[0] == batch.count()
+
+
+def test_lookup_lines_and_sample(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b"), (1, "z"), (2, "a")], "k int, v string")
+    assert [r.v for r in S.lookup(df, "k", 2).collect()] == ["a"] and S.lookup(df, "k", 9).count() == 0
+    (tmp_path / "x.txt").write_text("1\n2\n3\n")
+    assert S.count_lines(spark, str(tmp_path / "x.txt")).first().lines == 3
+    S.write_sample(spark.range(100), str(tmp_path / "s"), 10)
+    assert sorted(r.id for r in spark.read.json(str(tmp_path / "s")).collect()) == list(range(10))
+
+
+def test_change_fields(spark):
+    schema = "created_at string, merged_at string, closed_at string, comments array<string>, reviews array<string>, files array<struct<additions:long,deletions:long>>"
+    df = spark.createDataFrame([("2024-01-01T00:00:00Z", "2024-01-03T12:00:00Z", None, ["a"], None, [(3, 1), (None, 2)]), (None, None, None, None, [], None)], schema)
+    a, b = S.change_fields(df).collect()
+    assert (a.time_to_merge_days, a.time_to_close_days, a.total_comments, a.total_reviews, a.total_files_changed, a.total_additions, a.total_deletions) == (2, None, 1, 0, 2, 3, 3)
+    assert (b.total_comments, b.total_reviews, b.total_files_changed, b.total_additions) == (0, 0, 0, 0)
+
+
+def test_archive_is_read_whole(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("From: x@y\nSubject: s\n\n" + "word " * 40_000 + "https://z.example/p")
+    r = S.read_archive(spark, str(tmp_path / "a.txt")).first()
+    assert len(r.content) > 200_000 and r["from"] == "x@y" and r.sources == ["https://z.example/p"]
+    assert len(S.read_archive(spark, str(tmp_path / "a.txt"), 100).first().content) == 100
+
+
+def test_versions(spark):
+    a = spark.range(10)
+    one = S.snapshot(a, "p", "t", "2024-01-01")
+    same = S.snapshot(a.repartition(3), "p", "t", "2024-01-02", one)
+    two = S.snapshot(spark.range(11), "p", "t", "2024-01-03", one)
+    assert same.count() == 1 and [(r.version, r.rows) for r in two.orderBy("version").collect()] == [(1, 10), (2, 11)]
+
+
+def test_work_goes_on_where_it_stopped(spark, tmp_path):
+    seen, path = [], str(tmp_path / "out")
+
+    def work(df):
+        seen.append(df.count())
+        if len(seen) == 2:
+            raise RuntimeError("lost")
+        return df.selectExpr("id", "id * 2 AS twice")
+
+    keys = spark.range(25)
+    try:
+        S.resume(keys, path, "id", work, "id long, twice long", 10)
+    except RuntimeError:
+        pass
+    out = S.resume(keys, path, "id", work, "id long, twice long", 10)
+    assert seen == [10, 10, 10, 5] and sorted((r.id, r.twice) for r in out.collect()) == [(k, 2 * k) for k in range(25)]
+
+
+def test_commit_and_signature_fields(spark):
+    df = spark.createDataFrame([("Merge #12: x", ["a", "b"], 'BEGIN PGP SIGNATURE key ID 0123456789ABCDEF Good signature from "Ann <a@x>"'), ("fix #3", ["a"], "none")], "m string, p array<string>, t string")
+    a, b = df.select(S.commit_fields(F.col("m"), F.col("p")).alias("c"), S.signature(F.col("t")).alias("s")).collect()
+    assert (a.c.is_merge, a.c.merged_number, a.s.is_signed, a.s.key_id, a.s.signer) == (True, 12, True, "0123456789ABCDEF", "Ann <a@x>")
+    assert (b.c.is_merge, b.c.merged_number, b.s.is_signed) == (False, None, False)
+
+
+def test_reports_and_parallel_fetch(spark, tmp_path):
+    import json
+
+    S.write_report({"t": spark.createDataFrame([(1, "a")], "n int, v string")}, str(tmp_path / "r"), "name", {"k": "v"}, "2024-01-01")
+    body = json.loads(spark.read.text(str(tmp_path / "r")).first().value)
+    assert body["data"] == {"t": [{"n": 1, "v": "a"}]} and body["metadata"]["analysis_name"] == "name"
+    out = S.fetch_parallel(spark.range(20), lambda k: (int(k), f"v{k}"), "id long, v string")
+    assert sorted((r.id, r.v) for r in out.collect()) == [(k, f"v{k}") for k in range(20)]
+
+
+def test_json_document_and_last_of_a_key(spark, tmp_path):
+    from tallyhall.operators import relational as R
+
+    (tmp_path / "d.json").write_text('{\n "people": {"a": 1, "b": 2}\n}')
+    assert S.read_json_document(spark, str(tmp_path / "d.json"), "people map<string,int>").first().people == {"a": 1, "b": 2}
+    df = spark.createDataFrame([(1, 1, "old"), (1, 2, "new"), (2, 1, "x")], "k int, line int, v string")
+    assert {r.k: r.v for r in R.keep_last(df, "k", "line").collect()} == {1: "new", 2: "x"}
