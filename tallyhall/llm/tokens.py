@@ -10,19 +10,22 @@ from __future__ import annotations
 
 import json
 import os
-import unicodedata
 from array import array
 
 from tallyhall.llm.symbols import byte_symbols
 
 #: Entries of a worker's cache before it starts afresh.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 #: Longer words are encoded each time.
 CACHED_LENGTH = 48
 #: str.split() also cuts at these, the tokenizer doesn't; special tokens start with "<|".
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
 
+#: Marks after a word's letters; no contraction starts with one.
+_MARKS = ".,|!?;:#*$%&"
+
+
 def default_path(name: str) -> str:
     import public_tokenizers
 
@@ -76,13 +79,16 @@ class WordEncoder:
         return out
 
     def _stem(self, word: str) -> tuple[str, str]:
-        """A word as a stem and one mark that are encoded alone: ids(word) = ids(stem) + ids(mark)."""
-        stem, mark = (word[:-1], word[-1]) if word[-1] in ".,|!" else (word, "")
-        if mark and not (_composed(stem) and stem.lower().isalpha()):
-            stem, mark = word, ""  # a letter may lower to a letter and a mark of its own, which joins this one
+        """A word as a stem and marks that are encoded alone: ids(word) = ids(stem) + ids(marks)."""
+        stem, marks = word, ""
+        if not word.isalpha():
+            cut = word.rstrip(_MARKS)
+            # A letter may lower to a letter and a mark of its own, which would join these.
+            if len(cut) < len(word) and _composed(cut) and cut.lower().isalpha():
+                stem, marks = cut, word[len(cut) :]
         if self.lowers and _composed(stem):
             stem = stem.lower()
-        return stem, mark
+        return stem, marks
 
     def _stems(self, stems: list[str]) -> list[bytes]:
         """Ids of stems. A lower-case, composed run of letters is one pre-token: only the model has work to do."""
@@ -92,7 +98,7 @@ class WordEncoder:
                 rest.append(i)
             elif s.isascii():
                 out[i] = array("I", [t.id for t in tokenize(s)]).tobytes()
-            elif max(s) < "ɐ" and unicodedata.is_normalized("NFC", s):
+            elif _composed(s):  # letters below that bound are composed: normalization leaves them
                 out[i] = array("I", [t.id for t in tokenize(s.encode().decode("latin-1").translate(self.shown))]).tobytes()
             else:
                 rest.append(i)
