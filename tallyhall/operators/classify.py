@@ -49,6 +49,17 @@ def importance(title: Column, body: Column, labels: Column, changes: Column, fil
     )
 
 
+def importance_variant(title: Column, body: Column, changes: Column) -> Column:
+    """Importance by words and size alone, without the rule for core files; bands at 5, 10, 200 and 1000."""
+    n = F.coalesce(changes, F.lit(0))
+
+    def told(b: Column) -> Column:
+        critical, housekeeping = T.contains_any(b, K.CRITICAL) | (n > 1000), T.contains_any(b, K.HOUSEKEEPING)
+        return F.when(critical, "critical").when(housekeeping & (n < 10), "trivial").when(housekeeping, "low").when(n >= 200, "high").when(n < 5, "trivial").otherwise("normal")
+
+    return T.lowered(F.concat_ws(" ", T.or_empty(title), T.or_empty(body)), told)
+
+
 def importance_by_size(changes: Column) -> Column:
     n = F.coalesce(changes, F.lit(0))
     return F.when(n < 10, "trivial").when(n < 50, "low").when(n < 200, "normal").when(n < 500, "high").otherwise("critical")
