@@ -10,9 +10,9 @@ from tallyhall.functions import keywords as K
 from tallyhall.functions import text as T
 from tallyhall.functions.numbers import r6, ratio
 from tallyhall.operators import classify as C
-from tallyhall.operators import cleaning, identity, people, validate
+from tallyhall.operators import cleaning, people, validate
 from tallyhall.plans.cases import MAINTAINERS, case, given
-from tallyhall.plans.registry import query, table
+from tallyhall.plans.registry import query
 from tallyhall.plans.text_queries import _sql_any, _sql_hits
 
 _TEAM = ", ".join(f"'{m}'" for m in MAINTAINERS)

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from tallyhall.functions import dates as D
 from tallyhall.functions import keywords as K
 from tallyhall.functions import text as T
-from tallyhall.functions.numbers import r6, ratio
+from tallyhall.functions.numbers import r6
 from tallyhall.operators import audit as A
 from tallyhall.operators import classify as C
 from tallyhall.operators import relational as R
 from tallyhall.operators import stats as S
 from tallyhall.operators import windows as W
-from tallyhall.plans.case_queries import _TB, _TEAM, _title_body, _year, is_team
+from tallyhall.plans.case_queries import _TB, _TEAM, _year, is_team
 from tallyhall.plans.cases import case, given
 from tallyhall.plans.registry import query
 from tallyhall.plans.text_queries import _sql_any
@@ -209,3 +209,18 @@ def graph_rows(spark, d):
     e = case(spark, "changes").filter("merged AND author <> '' AND merged_by <> '' AND lower(author) <> lower(merged_by)").groupBy(F.lower("merged_by").alias("src"), F.lower("author").alias("dst")).agg(F.count("*").alias("w"))
     n = e.select(F.explode(F.array("src", "dst")).alias("id"), "w").groupBy("id").agg(F.sum("w").alias("degree"))
     return readers.graph_json(n, e)
+
+
+@query("alias_resolution", given("chat", "aliases") + ", e AS (SELECT lower(nickname) AS n FROM chat WHERE coalesce(nickname, '') <> ''), k AS (SELECT lower(id) AS id, max(unified) AS unified FROM aliases GROUP BY 1) SELECT coalesce(unified, n) AS who, count(*) AS messages, count(DISTINCT n) AS names, bool_or(unified IS NOT NULL) AS known FROM e LEFT JOIN k ON id = n GROUP BY 1")
+def alias_resolution(spark, d):
+    """Chat by person: known names of people become one, others stay (IDR5, IDR10, IDR11)."""
+    k = case(spark, "aliases").groupBy(F.lower("id").alias("id")).agg(F.max("unified").alias("unified"))
+    e = case(spark, "chat").filter("nickname <> ''").select(F.lower("nickname").alias("n"), F.lower("nickname").alias("who"))
+    known = R.resolve(e, k.withColumn("unified", F.concat(F.lit("\u0001"), "unified")), "who", "id", "unified")
+    return known.select("n", F.replace("who", F.lit("\u0001"), F.lit("")).alias("who"), F.col("who").startswith("\u0001").alias("k")).groupBy("who").agg(F.count("*").alias("messages"), F.countDistinct("n").alias("names"), F.bool_or("k").alias("known"))
+
+
+@query("merge_reach", given("changes") + " SELECT lower(merged_by) AS who, count(*) AS merges, count(DISTINCT lower(author)) AS authors FROM changes WHERE merged AND coalesce(merged_by, '') <> '' GROUP BY 1")
+def merge_reach(spark, d):
+    """How much everybody merges and for how many authors (GRA7, GRA2)."""
+    return case(spark, "changes").filter("merged AND merged_by <> ''").groupBy(F.lower("merged_by").alias("who")).agg(F.count("*").alias("merges"), F.countDistinct(F.lower("author")).alias("authors"))

@@ -85,8 +85,8 @@ def parse_mail(messages: pd.Series) -> pd.DataFrame:
             if part.get_content_type() == "text/plain":
                 try:
                     parts.append(part.get_content())
-                except (LookupError, KeyError):
-                    parts.append("")
+                except (LookupError, ValueError):  # a charset that isn't known or doesn't fit
+                    parts.append((part.get_payload(decode=True) or b"").decode("utf-8", "replace"))
         rows.append([str(m[h]) if m[h] else None for h in ("From",)] + [date] + [str(m[h]) if m[h] else None for h in ("Subject", "Message-ID", "In-Reply-To", "References")] + ["".join(parts)])
     return pd.DataFrame(rows, columns=["from", "date", "subject", "message_id", "in_reply_to", "references", "body"])
 

@@ -141,3 +141,8 @@ def test_json_document_and_last_of_a_key(spark, tmp_path):
     assert S.read_json_document(spark, str(tmp_path / "d.json"), "people map<string,int>").first().people == {"a": 1, "b": 2}
     df = spark.createDataFrame([(1, 1, "old"), (1, 2, "new"), (2, 1, "x")], "k int, line int, v string")
     assert {r.k: r.v for r in R.keep_last(df, "k", "line").collect()} == {1: "new", 2: "x"}
+
+
+def test_mail_of_an_unknown_charset_keeps_its_text(spark):
+    raw = "From: a@x\nDate: Mon, 5 Feb 2024 10:00:00 +0000\nContent-Type: text/plain; charset=x-odd\n\nplain words"
+    assert spark.createDataFrame([(raw,)], "m string").select(S.parse_mail("m").alias("p")).first().p.body.strip() == "plain words"
