@@ -9,7 +9,7 @@ task left behind is never read. Its reader plans partitions as byte ranges over
 the archives of a directory; a partition owns the members whose local header
 starts in its range, streams them in Arrow batches of bounded size, and reads
 each member on its own by offset, with retries, so a failed read repeats one
-member.
+member. Writer and reader both stream Arrow batches.
 """
 
 from __future__ import annotations
@@ -21,13 +21,14 @@ import time
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import nullcontext
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from tallyhall.llm.common import fresh_dir, open_fs, tuned
 
@@ -109,21 +110,22 @@ class _Archive:
         return self.name, self.at
 
 
-class MediaWriter(DataSourceWriter):
+class MediaWriter(DataSourceArrowWriter):
     def __init__(self, path: str, limit: int) -> None:
         self.path, self.limit = path, limit
 
-    def write(self, iterator: Iterator) -> WriterCommitMessage:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, root = open_fs(self.path)
         fs.create_dir(root, recursive=True)
-        done, now = [], None
-        for k, row in enumerate(iterator):
-            now = now or _Archive(fs, root)
-            name = json.dumps([k, row[0], row[1]], separators=(",", ":")).encode()
-            now.add(name, bytes(row[2]))
-            if now.at >= self.limit or now.n >= 60_000:  # the format counts members in 16 bits
-                done.append(now.close())
-                now = None
+        done, now, k = [], None, 0
+        for batch in iterator:
+            for doc, n, media in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2], strict=True):
+                now = now or _Archive(fs, root)
+                now.add(json.dumps([k, doc, n], separators=(",", ":")).encode(), media.as_py())
+                k += 1
+                if now.at >= self.limit or now.n >= 60_000:  # the format counts members in 16 bits
+                    done.append(now.close())
+                    now = None
         if now:
             done.append(now.close())
         return _Written(done)
@@ -165,14 +167,15 @@ class MediaReader(DataSourceReader):
         fs, root = open_fs(self.path)
         path = f"{root}/{partition.archive}"
         rows, held = [], 0
-        for name, offset, size, crc in self._members(fs, path, partition.lo, partition.hi):
-            rows.append((*json.loads(name)[1:], self._payload(fs, path, offset + 30 + len(name), size, crc)))
-            held += size
-            if held >= BATCH_BYTES:
+        with fs.open_input_file(path) as f:
+            for name, offset, size, crc in self._members(fs, path, partition.lo, partition.hi):
+                rows.append((*json.loads(name)[1:], self._payload(fs, path, offset + 30 + len(name), size, crc, f)))
+                held += size
+                if held >= BATCH_BYTES:
+                    yield self._batch(rows)
+                    rows, held = [], 0
+            if rows:
                 yield self._batch(rows)
-                rows, held = [], 0
-        if rows:
-            yield self._batch(rows)
 
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -197,11 +200,11 @@ class MediaReader(DataSourceReader):
         return out
 
     @staticmethod
-    def _payload(fs, path: str, at: int, size: int, crc: int) -> bytes:
-        """One member's bytes; a failed or damaged read is repeated alone."""
+    def _payload(fs, path: str, at: int, size: int, crc: int, opened=None) -> bytes:
+        """One member's bytes; a failed or damaged read is repeated alone, from a file opened anew."""
         for attempt in range(RETRIES):
             try:
-                with fs.open_input_file(path) as f:
+                with nullcontext(opened) if opened and not attempt else fs.open_input_file(path) as f:
                     f.seek(at)
                     data = f.read(size)
                 if zlib.crc32(data) == crc:
