@@ -116,6 +116,9 @@ class ByteBPE:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        cut = spec.get("pre_tokenizer") or {}
+        if spec.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+            raise ValueError("only files that normalize nothing and cut at byte level are read")
         names = byte_symbols()
         byte_of = {c: b for b, c in enumerate(names)}
         vocab: dict[str, int] = spec["model"]["vocab"]
