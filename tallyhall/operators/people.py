@@ -89,18 +89,20 @@ def answers(changes: DataFrame, comments: DataFrame, reviews: DataFrame) -> Data
     return said.join(changes.select("number", "author", "created"), "number")
 
 
-def release_parts(releases: DataFrame, commits: DataFrame, changes: DataFrame) -> DataFrame:
+def release_parts(releases: DataFrame, commits: DataFrame, changes: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``tag, number, title, merged``: changes named by the merge commits since the release before.
 
     Releases and commits are put in one order of time, so each commit finds the
-    next release by one window instead of a range join.
+    next release by one window instead of a range join; ``by`` names columns of
+    both (a repository) within which that order holds.
     """
+    own = by or []
     number = F.coalesce(F.nullif(F.regexp_extract("message", r"Merge (?:pull request )?#(\d+)", 1), F.lit("")), F.nullif(F.regexp_extract("message", r"#(\d+)", 1), F.lit(""))).cast("long")
-    tags = releases.filter("tag IS NOT NULL").select("date", F.lit(1).alias("o"), "tag", F.lit(None).cast("long").alias("number"))
-    parts = commits.filter("parents > 1 AND sha <> ''").select("date", F.lit(0).alias("o"), F.lit(None).cast("string").alias("tag"), number.alias("number"))
-    upcoming = Window.orderBy("date", "o", "tag").rowsBetween(0, Window.unboundedFollowing)
-    named = tags.unionByName(parts).withColumn("tag", F.first("tag", ignorenulls=True).over(upcoming)).filter("number IS NOT NULL AND tag IS NOT NULL").select("tag", "number").distinct()
-    return named.join(changes.select("number", F.substring("title", 1, 100).alias("title"), "merged"), "number", "left").select("tag", "number", "title", "merged")
+    tags = releases.filter("tag IS NOT NULL").select(*own, "date", F.lit(1).alias("o"), "tag", F.lit(None).cast("long").alias("number"))
+    parts = commits.filter("parents > 1 AND sha <> ''").select(*own, "date", F.lit(0).alias("o"), F.lit(None).cast("string").alias("tag"), number.alias("number"))
+    upcoming = Window.partitionBy(*own).orderBy("date", "o", "tag").rowsBetween(0, Window.unboundedFollowing)
+    named = tags.unionByName(parts).withColumn("tag", F.first("tag", ignorenulls=True).over(upcoming)).filter("number IS NOT NULL AND tag IS NOT NULL").select(*own, "tag", "number").distinct()
+    return named.join(changes.select(*own, "number", F.substring("title", 1, 100).alias("title"), "merged"), [*own, "number"], "left").select(*own, "tag", "number", "title", "merged")
 
 
 def roster(lines: DataFrame, line: str = "line", value: str = "value") -> DataFrame:
