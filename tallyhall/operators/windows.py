@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tallyhall.functions.dates import whole_days
@@ -20,18 +20,24 @@ def completion_signal(events: DataFrame, entity: str, author: str, order: list,
     return left.groupBy(entity, author).agg(best.alias("_b")).groupBy(entity).agg(F.sum("_b").alias("score"))
 
 
+def timeline(actor: str, ts: str) -> WindowSpec:
+    """Each actor's events in order of time, those without one last, as in the SQL."""
+    return Window.partitionBy(actor).orderBy(F.col(ts).asc_nulls_last())
+
+
 def gap_sessions(events: DataFrame, actor: str, ts: str, gap: Column | None = None, days: int = 180) -> DataFrame:
     """Activity periods of each actor; a new one starts after a gap.
 
-    By default a gap is more than ``days`` whole days. One sort per actor; the
-    periods are then ordinary aggregates.
+    By default a gap is more than ``days`` whole days; a caller's ``gap`` looks
+    back over ``timeline``. One sort per actor; the periods are then ordinary
+    aggregates. Events at one time share a period, whichever of them comes first.
     """
-    order = Window.partitionBy(actor).orderBy(ts)
+    order = timeline(actor, ts)
     last = F.lag(ts).over(order)
     new = (whole_days(last, F.col(ts)) > days) if gap is None else gap
     marked = events.withColumn("_last", last).withColumn("_new", F.coalesce(new.cast("int"), F.lit(0)))
     return (
-        marked.withColumn("session", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        marked.withColumn("session", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
         .groupBy(actor, "session")
         .agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n"))
     )

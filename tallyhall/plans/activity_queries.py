@@ -101,7 +101,7 @@ SELECT user_id, CAST(session AS BIGINT) AS session, CAST(min(ts) AS VARCHAR) AS
 def activity_sessions(spark, d):
     """Periods of activity split by gaps of over six hours (WIN2)."""
     e = _events(spark, d)
-    order = Window.partitionBy("user_id").orderBy("ts")
+    order = W.timeline("user_id", "ts")
     gap = hours_between(F.lag("ts").over(order), F.col("ts")) > 6
     s = W.gap_sessions(e, "user_id", "ts", gap)
     return s.select("user_id", "session", F.col("start").cast("string").alias("start_ts"), F.col("end").cast("string").alias("end_ts"), "n")
@@ -111,8 +111,8 @@ def activity_sessions(spark, d):
 s AS (SELECT *, sum(g) OVER (PARTITION BY actor ORDER BY ts ROWS UNBOUNDED PRECEDING) AS p FROM e), q AS (SELECT actor, p, min(ts) a, max(ts) b, count(*) n FROM s GROUP BY 1, 2)
 SELECT actor, CAST(p AS BIGINT) AS session, CAST(CAST(a AS DATE) AS VARCHAR) AS start_day, CASE WHEN date_diff('day', b, TIMESTAMP '2001-08-02') < 90 THEN NULL ELSE CAST(CAST(b AS DATE) AS VARCHAR) END AS end_day, n FROM q""")
 def inferred_tenure(spark, d):
-    """Tenure periods: gaps of over 180 days split, recent ends stay open (WIN4)."""
-    o = _orders(spark, d).select(F.col("o_custkey").alias("actor"), F.col("o_orderdate").alias("ts"))
+    """Tenure periods by calendar days: gaps of over 180 days split, recent ends stay open (WIN4)."""
+    o = _orders(spark, d).select(F.col("o_custkey").alias("actor"), F.col("o_orderdate").cast("date").alias("ts"))
     t = W.tenure(o, "actor", "ts", F.lit("2001-08-02").cast("timestamp_ntz"))
     return t.select("actor", "session", F.col("start").cast("date").cast("string").alias("start_day"), F.col("end").cast("date").cast("string").alias("end_day"), "n")
 
@@ -167,7 +167,7 @@ SELECT event_type, count(*) AS n FROM events e WHERE EXISTS (SELECT 1 FROM q WHE
 def validity_interval_join(spark, d):
     """Events inside a purchase period of their user (JOIN5)."""
     e = _events(spark, d)
-    order = Window.partitionBy("user_id").orderBy("ts")
+    order = W.timeline("user_id", "ts")
     p = W.gap_sessions(e.filter("event_type = 'purchase'"), "user_id", "ts", hours_between(F.lag("ts").over(order), F.col("ts")) > 12)
     return R.during(e, p, "user_id", "ts", F.lit("2024-12-31").cast("timestamp_ntz")).groupBy("event_type").agg(F.count("*").alias("n"))
 
